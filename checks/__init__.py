@@ -6,4 +6,4 @@ def all_queries():
     from checks import registry
     from checks import (cases, features, learning, ledgers, patterns, profiles, reports, risk,  # noqa: F401
                         rules, screening, streams, validation)
-    return registry.QUERIES, registry.ORACLE
+    return registry.QUERIES, registry.oracle()

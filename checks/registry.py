@@ -7,7 +7,7 @@ from collections.abc import Callable
 from checks.oracle_views import VIEWS
 
 QUERIES: dict[str, Callable] = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, tuple] = {}
 
 DEPENDS = {"raw_transactions": ["transactions"], "predictions": ["transactions"], "case_actions": ["transactions"],
            "watchlist": ["accounts"]}
@@ -31,13 +31,20 @@ def sql(body: str, *needs: str) -> str:
     for name in needs:
         add(name)
     parts = [f"{n} AS ({(EXTRA[n][0] if n in EXTRA else VIEWS[n]).strip()})" for n in order]
-    return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body.strip()
+    body = body.strip()
+    if parts and body.startswith("WITH "):
+        return "WITH " + ",\n".join(parts) + ",\n" + body[5:]
+    return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
 
 
 def query(name: str, body: str | None = None, *needs: str):
     def keep(fn: Callable) -> Callable:
         QUERIES[name] = fn
         if body is not None:
-            ORACLE[name] = sql(body, *needs)
+            ORACLE[name] = (body, needs)
         return fn
     return keep
+
+
+def oracle() -> dict[str, str]:
+    return {name: sql(body, *needs) for name, (body, needs) in ORACLE.items()}

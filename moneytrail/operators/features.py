@@ -184,32 +184,57 @@ def clean_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def features_82(df: DataFrame, accounts: DataFrame, as_of_us: int, hot: HotKeys = NO_HOT_KEYS,
-                hot_accounts: HotKeys = NO_HOT_KEYS) -> DataFrame:
-    """``id`` and the 82 features of every transaction.
+                hot_accounts: HotKeys = NO_HOT_KEYS, columns: list[str] | None = None) -> DataFrame:
+    """``id`` and the 82 features of every transaction, or the named ones; only the history they read is computed.
 
     ``accounts`` may carry ``sanctioned_flag``; ``df`` may carry ``origin_country``, ``recipient_risk_score``,
     ``previous_alert_count`` and ``previous_sar_count``.
     """
+    columns = FEATURES_82 if columns is None else columns
+    composite = any(c in COMPOSITE for c in columns)
+
+    def wanted(group: list[str]) -> bool:
+        return composite or any(c in group for c in columns)
+
     have = set(df.columns)
     extra = {"origin_country": F.lit("ZW"), "previous_alert_count": F.lit(0), "previous_sar_count": F.lit(0),
              "recipient_risk_score": F.lit(0.0)}
-    base = df.select("*", *[v.alias(k) for k, v in extra.items() if k not in have])
-    rows = sender_history(base, ("lifetime", "moments", "velocity", "recipients", "band", "transfers"), hot)
-    rows = reverse_transfers(rows, hot_accounts)
-    rows = rows.join(running_median(df, hot), "id").join(party_history(df, hot_accounts), "id")
-    flags = accounts.select(
-        F.col("account_number").alias(SENDER), F.col("created_at").alias("account_created_at"), "kyc_status",
-        "pep_flag", "risk_rating",
-        (F.col("sanctioned_flag") if "sanctioned_flag" in accounts.columns else F.lit(False))
-        .alias("sanctioned_flag"))
-    rows = rows.join(flags, SENDER, "left").withColumn("last_tx_us", F.col("s_last_us"))
-    made = {**transaction_features(), **behaviour_features(), **time_features(), **velocity_features(),
-            **relationship_features(F.col("recipient_risk_score").cast("double")),
-            **geography_features(F.col("origin_country"), F.col("destination_country")), **channel_features(),
-            **account_features(as_of_us), **network_features()}
-    out = rows.select("id", *[made[n].alias(n) for n in FEATURES_82 if n not in COMPOSITE])
-    out = out.select("*", *[c.alias(n) for n, c in composite_features().items()])
-    return clean_numbers(out.select("id", *FEATURES_82), FEATURES_82)
+    rows = df.select("*", *[v.alias(k) for k, v in extra.items() if k not in have])
+    made = {**transaction_features(), **time_features(), **channel_features(),
+            **geography_features(F.col("origin_country"), F.col("destination_country"))}
+    scans: list[str] = []
+    if wanted(BEHAVIOUR):
+        scans += ["lifetime", "moments"]
+        made |= behaviour_features()
+    if wanted(VELOCITY) or wanted(NETWORK):
+        scans.append("velocity")
+        made |= velocity_features()
+    if wanted(RELATIONSHIP):
+        scans.append("recipients")
+        made |= relationship_features(F.col("recipient_risk_score").cast("double"))
+    if wanted(NETWORK):
+        scans += ["band", "transfers"]
+        made |= network_features()
+    if scans:
+        rows = sender_history(rows, tuple(scans), hot)
+    if wanted(RELATIONSHIP):
+        rows = reverse_transfers(rows, hot_accounts)
+    if wanted(BEHAVIOUR):
+        rows = rows.join(running_median(df, hot), "id")
+    if wanted(NETWORK) or wanted(ACCOUNT):
+        rows = rows.join(party_history(df, hot_accounts), "id").withColumn("last_tx_us", F.col("s_last_us"))
+    if wanted(ACCOUNT):
+        made |= account_features(as_of_us)
+        flags = accounts.select(
+            F.col("account_number").alias(SENDER), F.col("created_at").alias("account_created_at"), "kyc_status",
+            "pep_flag", "risk_rating",
+            (F.col("sanctioned_flag") if "sanctioned_flag" in accounts.columns else F.lit(False))
+            .alias("sanctioned_flag"))
+        rows = rows.join(flags, SENDER, "left")
+    out = rows.select("id", *[made[n].alias(n) for n in FEATURES_82 if n in made and (composite or n in columns)])
+    if composite:
+        out = out.select("*", *[c.alias(n) for n, c in composite_features().items()])
+    return clean_numbers(out.select("id", *columns), columns)
 
 
 # --- the 25-column model vector -----------------------------------------------------------------------------

@@ -37,7 +37,7 @@ def validate_transactions(df: DataFrame, as_of: str, strict: bool = False) -> Da
                F.when(low, F.concat(F.lit("Amount "), _number_text(parsed), F.lit(" below minimum 0.01"))),
                F.when(high, F.concat(F.lit("Amount "), _number_text(parsed), F.lit(" exceeds maximum 10000000")))]
     bounded = parsed if strict else F.least(F.greatest(parsed, F.lit(0.01)), F.lit(1e7))
-    clean["amount"] = F.coalesce(bounded, F.lit(0.0))
+    clean["amount"] = F.when(parsed.isNull(), 0.0).otherwise(bounded)
 
     stamp = get("timestamp")
     moment = F.try_to_timestamp(F.trim(stamp.cast("string")))
