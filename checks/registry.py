@@ -32,6 +32,8 @@ def sql(body: str, *needs: str) -> str:
         add(name)
     parts = [f"{n} AS ({(EXTRA[n][0] if n in EXTRA else VIEWS[n]).strip()})" for n in order]
     body = body.strip()
+    if parts and body.startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ",\n".join(parts) + ",\n" + body[15:]
     if parts and body.startswith("WITH "):
         return "WITH " + ",\n".join(parts) + ",\n" + body[5:]
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
