@@ -56,7 +56,7 @@ def risk_rating_after(accounts: DataFrame, actions: DataFrame) -> DataFrame:
     rows = accounts.join(total, "account_number", "left")
     moved = F.element_at(ladder, F.element_at("map", at.cast("int")) + 1)
     return rows.select("account_number", F.col("risk_rating").alias("rating_before"),
-                       F.coalesce(moved, "risk_rating").alias("rating_after"))
+                       F.when(F.col("map").isNull(), F.col("risk_rating")).otherwise(moved).alias("rating_after"))
 
 
 def sar_state(sars: DataFrame, actions: DataFrame) -> DataFrame:

@@ -204,6 +204,6 @@ def next_open_alert(alerts: DataFrame) -> DataFrame:
     """
     top = alerts.where("status = 'open'").orderBy(F.col("ts").desc(), F.col("id").desc()).limit(2)
     pair = top.agg(F.sort_array(F.collect_list(F.struct(F.col("ts"), F.col("id"))), False).alias("top"))
-    first, second = F.col("top")[0]["id"], F.col("top")[1]["id"]
+    first, second = F.get("top", 0)["id"], F.get("top", 1)["id"]
     return (alerts.join(F.broadcast(pair))  # one row
             .select(*alerts.columns, F.when(first == F.col("id"), second).otherwise(first).alias("next_alert_id")))
