@@ -176,11 +176,9 @@ def composite_features() -> dict[str, Column]:
 
 def clean_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
     """NaN, infinities and NULL become 0."""
-    def clean(name: str) -> Column:
-        c = F.col(name)
-        bad = c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
-        return F.when(bad, 0.0).otherwise(c).alias(name)
-    return df.select(*[c for c in df.columns if c not in columns], *[clean(c) for c in columns])
+    keep = [f"`{c}`" for c in df.columns if c not in columns]
+    return df.selectExpr(*keep, *[f"if(`{c}` IS NULL OR isnan(`{c}`) OR abs(`{c}`) = double('Infinity'), 0D, `{c}`) "
+                                  f"AS `{c}`" for c in columns])
 
 
 def features_82(df: DataFrame, accounts: DataFrame, as_of_us: int, hot: HotKeys = NO_HOT_KEYS,

@@ -66,10 +66,6 @@ def reverse_transfers(df: DataFrame, hot: HotKeys = NO_HOT_KEYS) -> DataFrame:
         F.when(apart, F.when(F.col("_fwd"), F.col("_tb")).otherwise(F.col("_tf"))).alias("reverse_first_us"))
 
 
-# An amount in cents fits into this many halvings.
-_LEVELS = 46
-
-
 def similar_reverse(df: DataFrame) -> DataFrame:
     """``id`` and ``round_trip`` for rows with an earlier opposite transfer of nearly the same amount.
 
@@ -85,8 +81,12 @@ def similar_reverse(df: DataFrame) -> DataFrame:
             .where("f > 0 AND b > 0").select("lo", "hi"))
     rows = apart.join(both, ["lo", "hi"], "left_semi").where("cents >= 0")
 
-    level = F.explode(F.sequence(F.lit(0), F.lit(_LEVELS))).alias("level")
-    nodes = (rows.select("lo", "hi", "fwd", "ts_us", "cents", level)
+    # a band around a is at most 2k + 1 wide, so larger nodes cannot fit into it; and a row of c cents can only lie
+    # in bands of amounts up to c / 0.9, which are narrower than 0.3 c
+    def levels(width: str):
+        return F.explode(F.expr(f"sequence(0, cast(ceil(log2({width})) AS INT))")).alias("level")
+
+    nodes = (rows.select("lo", "hi", "fwd", "ts_us", "cents", levels("greatest(cents, 100L) * 0.3D"))
              .groupBy("lo", "hi", "fwd", "level", F.expr("shiftright(cents, level)").alias("node"))
              .agg(F.min("ts_us").alias("seen_us")))
 
@@ -95,7 +95,7 @@ def similar_reverse(df: DataFrame) -> DataFrame:
     band = rows.select("id", "lo", "hi", (~F.col("fwd")).alias("fwd"), "ts_us",
                        F.greatest(F.col("cents") - k, F.lit(0)).alias("a"), (F.col("cents") + k + 1).alias("z"))
     # [a, z): at each level the node at a if it is a right child, the node before z if z is one past a left child
-    at = band.select("*", level).select(
+    at = band.select("*", levels("z - a")).select(
         "id", "lo", "hi", "fwd", "ts_us", "level",
         F.expr("shiftright(a + shiftleft(1L, level) - 1, level)").alias("p"), F.expr("shiftright(z, level)").alias("q"))
     at = at.where("p < q")

@@ -1,7 +1,7 @@
 """Median of all amounts of an account up to each row.
 
-Ordinary accounts are handled group by group with two heaps.  For accounts too large for one task the median is
-found digit by digit: at each level every row counts the earlier values per digit among those that share its
+Small accounts sort their short history in the JVM, larger ones run group by group over two heaps.  For accounts
+too large for one task the median is found digit by digit: at each level every row counts the earlier values per digit among those that share its
 prefix, by the same chunked scan the other history columns use, and goes down the digit its rank falls into.
 """
 
@@ -10,13 +10,14 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from moneytrail.operators.windows import SENDER
 from moneytrail.plans.hot import NO_HOT_KEYS, HotKeys
 from moneytrail.plans.scan import Measure, count_measure, prior
 
+_SMALL = 256  # rows; sorting every prefix of so short a history is cheaper than leaving the JVM
 _BITS = 4
 _LEVELS = 10  # 40 bits of cents: eleven billion dollars
 
@@ -69,12 +70,22 @@ def running_median(df: DataFrame, hot: HotKeys = NO_HOT_KEYS) -> DataFrame:
     """``id`` and ``median_cents2``: twice the median, in cents, of strictly earlier amounts and the row's own."""
     rows = df.select("id", SENDER, "ts_us", "cents")
     usual = rows.where(~hot.is_hot(F.col(SENDER))) if hot else rows
-    out = usual.groupBy(SENDER).applyInPandas(_heap_medians, "id long, median_cents2 long")
+    sized = usual.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(SENDER)))
+    large = sized.where(F.col("_n") > _SMALL).drop("_n")
+    out = _sorted_medians(sized.where(F.col("_n") <= _SMALL)).unionByName(
+        large.groupBy(SENDER).applyInPandas(_heap_medians, "id long, median_cents2 long"))
     if hot:
         out = out.unionByName(_digit_medians(rows.where(hot.is_hot(F.col(SENDER))), hot))
     return out
 
 
+def _sorted_medians(rows: DataFrame) -> DataFrame:
+    before = Window.partitionBy(SENDER).orderBy("ts_us").rangeBetween(Window.unboundedPreceding, -1)
+    seen = rows.select("id", F.col("cents"), F.collect_list("cents").over(before).alias("seen"))
+    seen = seen.selectExpr("id", "array_sort(array_append(seen, cents)) AS s")
+    return seen.selectExpr("id", "s[cast((size(s) - 1) div 2 AS INT)] + s[cast(size(s) div 2 AS INT)] AS median_cents2")
+
+
 def _digit_medians(rows: DataFrame, hot: HotKeys) -> DataFrame:
     """Descend from the top digit; the row's own amount joins the counts as one more value."""
     sized = prior(rows, SENDER, [count_measure("before")], hot=hot)

@@ -10,8 +10,6 @@ same sum, with an item expiring as soon as it is seen again.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,23 +63,19 @@ def prior(df: DataFrame, key: str | list[str], measures: list[Measure], ts_us: s
         if not hot and not partitioned:
             # shuffle the plain rows; the leave events are made behind the exchange
             rows = rows.repartition(*keys)
-        rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(endings)))).alias("_e"))
-        event_time = F.when(F.col("_e") == 0, F.col(ts_us))
-        for i, (kind, what) in enumerate(endings, 1):
-            at = F.col(ts_us) + F.lit(what) if kind == "w" else F.col(f"_x_{what}")
-            event_time = event_time.when(F.col("_e") == i, at)
-        rows = rows.withColumn("_t", event_time).where(F.col("_t").isNotNull())
-        # a leave event matters only when it takes something away
-        takes = [F.col("_e") == 0]
+        # event 0 is the row itself; a leave event matters only when it takes something away
+        times, takes = [f"WHEN 0 THEN `{ts_us}`"], ["_e = 0"]
         for i, (kind, what) in enumerate(endings, 1):
-            gone = [F.col(f"_v_{m.name}").isNotNull() for m in measures if _ends_with(m, kind, what)]
-            takes.append((F.col("_e") == i) & reduce(lambda a, b: a | b, gone))
-        rows = rows.where(reduce(lambda a, b: a | b, takes))
-        rows = rows.select(
-            *[F.col(c) if c in keys else F.when(F.col("_e") == 0, F.col(c)).alias(c) for c in columns],
-            "_e", "_t", *[_delta(m, endings).alias(f"_v_{m.name}") for m in measures])
+            times.append(f"WHEN {i} THEN " + (f"`{ts_us}` + {what}L" if kind == "w" else f"`_x_{what}`"))
+            gone = " OR ".join(f"`_v_{m.name}` IS NOT NULL" for m in measures if _ends_with(m, kind, what))
+            takes.append(f"(_e = {i} AND ({gone}))")
+        rows = rows.selectExpr("*", f"explode(sequence(0, {len(endings)})) AS _e")
+        rows = rows.selectExpr("*", f"CASE _e {' '.join(times)} END AS _t").where("_t IS NOT NULL")
+        rows = rows.where(" OR ".join(takes)).selectExpr(
+            *[f"`{c}`" if c in keys else f"if(_e = 0, `{c}`, NULL) AS `{c}`" for c in columns],
+            "_e", "_t", *[f"{_delta(m, endings)} AS `_v_{m.name}`" for m in measures])
     else:
-        rows = rows.withColumn("_t", F.col(ts_us)).withColumn("_e", F.lit(0))
+        rows = rows.selectExpr("*", f"`{ts_us}` AS _t", "0 AS _e")
 
     if hot:
         rows = rows.withColumn("_chunk", hot.chunk(F.col(keys[0]), F.col("_t")))
@@ -100,9 +94,9 @@ def prior(df: DataFrame, key: str | list[str], measures: list[Measure], ts_us: s
                                          for m in measures])
         out = out.join(carry, groups, "left")
         out = out.select(*columns, *[_merge(m).alias(m.name) for m in measures])
-    zero = {m.name for m in measures if m.op == "sum"}
-    return out.select(*columns, *[F.coalesce(F.col(m.name), F.lit(0)).alias(m.name) if m.name in zero
-                                  else F.col(m.name) for m in measures])
+    return out.selectExpr(*[f"`{c}`" for c in columns],
+                          *[f"coalesce(`{m.name}`, 0) AS `{m.name}`" if m.op == "sum" else f"`{m.name}`"
+                            for m in measures])
 
 
 def _ends_with(m: Measure, kind: str, what) -> bool:
@@ -111,13 +105,11 @@ def _ends_with(m: Measure, kind: str, what) -> bool:
     return kind == "w" and what == m.width_us
 
 
-def _delta(m: Measure, endings: list) -> Column:
-    value = F.col(f"_v_{m.name}")
-    out = F.when(F.col("_e") == 0, value)
-    for i, (kind, what) in enumerate(endings, 1):
-        if m.ends and _ends_with(m, kind, what):
-            out = out.when(F.col("_e") == i, -value)
-    return out
+def _delta(m: Measure, endings: list) -> str:
+    value = f"`_v_{m.name}`"
+    leaves = [f"WHEN {i} THEN -{value}" for i, (kind, what) in enumerate(endings, 1)
+              if m.ends and _ends_with(m, kind, what)]
+    return f"CASE _e WHEN 0 THEN {value} {' '.join(leaves)} END"
 
 
 def _merge(m: Measure) -> Column:

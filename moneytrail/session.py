@@ -8,6 +8,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # plans here hold hundreds of column expressions; recording a call site for each slows their construction
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
