@@ -29,7 +29,18 @@ _COUNTRIES = ["ZW", "ZW", "ZW", "ZW", "US", "GB", "ZA", "AE", "NG", "IR", "RU",
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_clock(_table(spark, sf_dir, "events").selectExpr(
+    return from_events(_table(spark, sf_dir, "events"))
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same transactions as a stream over the events file."""
+    schema = _table(spark, sf_dir, "events").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return from_events(raw)
+
+
+def from_events(events: DataFrame) -> DataFrame:
+    return with_clock(events.selectExpr(
         "event_id AS id", f"{_EVENT_TS} AS ts", "concat('ACC', user_id) AS sender_account",
         "CASE WHEN event_type IN ('purchase','view','click') "
         "THEN concat('ACC', cast(get_json_object(props, '$.k') AS INT)) "
