@@ -157,12 +157,12 @@ def features_25(spark, d):
 
 
 @query("prior_case_counts", f"""
-SELECT id, count(*) FILTER (alert) OVER w AS previous_alert_count, count(*) FILTER (alert AND sid % 4 = 3) OVER w AS previous_sar_count
+SELECT id, count(*) FILTER (alert) OVER w AS previous_alert_count, count(*) FILTER (alert AND sid >= 20000) OVER w AS previous_sar_count
 FROM (SELECT id, sender_account AS account, ts, false AS alert, NULL AS sid, 0 AS kind FROM transactions
-  UNION ALL SELECT NULL, sender_account, ts, true, id, 1 FROM transactions WHERE amount >= 10000)
+  UNION ALL SELECT NULL, sender_account, ts, true, amount, 1 FROM transactions WHERE amount >= 10000)
 WINDOW w AS (PARTITION BY account ORDER BY ts {PAST}) QUALIFY kind = 0""", "transactions")
 def prior_case_counts(spark, d):
     tx = views.transactions(spark, d)
-    alerts = tx.where("amount >= 10000").select("id", F.col("sender_account").alias("account_number"), "ts")
-    sars = alerts.where("id % 4 = 3").select("id", "account_number", F.col("ts").alias("created_at"))
+    alerts = tx.where("amount >= 10000").select("id", F.col("sender_account").alias("account_number"), "ts", "amount")
+    sars = alerts.where("amount >= 20000").select("id", "account_number", F.col("ts").alias("created_at"))
     return history.prior_case_counts(tx, alerts, sars, find_hot_keys(tx, "sender_account"))

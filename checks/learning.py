@@ -78,16 +78,16 @@ def global_importance(spark, d):
 
 def _feedback(spark, d):
     p = views.predictions(spark, d)
-    return feedback.feedback(p, p.where("id % 3 != 0").select("id", "actual"))
+    return feedback.feedback(p, p.where("anomaly < 0.1").select("id", "actual"))
 
 
 @query("feedback", """
-SELECT id, predicted AS predicted_label, actual AS actual_label, confidence, predicted = actual AS is_correct FROM predictions WHERE id % 3 <> 0""", "predictions")
+SELECT id, predicted AS predicted_label, actual AS actual_label, confidence, predicted = actual AS is_correct FROM predictions WHERE anomaly < 0.1""", "predictions")
 def feedback_rows(spark, d):
     return _feedback(spark, d)
 
 
-@query("label_queue", "SELECT id, actual AS label FROM predictions WHERE id % 3 <> 0 AND predicted <> actual", "predictions")
+@query("label_queue", "SELECT id, actual AS label FROM predictions WHERE anomaly < 0.1 AND predicted <> actual", "predictions")
 def label_queue(spark, d):
     return feedback.label_queue(_feedback(spark, d))
 
@@ -99,7 +99,7 @@ def _history(spark, d):
 
 define("retrain_row", f"""
 SELECT n AS new_labels, (({AS_OF_US} + 86400000000 * 40) - t.ts_us) // 86400000000 AS days_since_retrain, e.f1 AS recent_f1, t.f1 AS trained_f1
-FROM (SELECT count(*) AS n FROM predictions WHERE id % 3 <> 0 AND predicted <> actual),
+FROM (SELECT count(*) AS n FROM predictions WHERE anomaly < 0.1 AND predicted <> actual),
   (SELECT ts_us, f1 FROM model_events WHERE action = 'deployed' ORDER BY ts_us DESC, f1 DESC LIMIT 1) t,
   (SELECT ts_us, f1 FROM model_events ORDER BY ts_us DESC, f1 DESC LIMIT 1) e""", "predictions", "model_events")
 
@@ -112,10 +112,10 @@ def retrain_triggers(spark, d):
 
 
 @query("ab_results", """
-SELECT arm, count(*) AS total_predictions, count(*) FILTER (id % 3 <> 0) AS labeled_predictions,
-  (count(*) FILTER (id % 3 <> 0 AND predicted = actual))::DOUBLE / count(*) FILTER (id % 3 <> 0) AS accuracy FROM predictions GROUP BY 1""", "predictions")
+SELECT arm, count(*) AS total_predictions, count(*) FILTER (anomaly < 0.1) AS labeled_predictions,
+  (count(*) FILTER (anomaly < 0.1 AND predicted = actual))::DOUBLE / count(*) FILTER (anomaly < 0.1) AS accuracy FROM predictions GROUP BY 1""", "predictions")
 def ab_results(spark, d):
-    rows = views.predictions(spark, d).withColumn("actual", F.when(F.col("id") % 3 != 0, F.col("actual")))
+    rows = views.predictions(spark, d).withColumn("actual", F.when(F.col("anomaly") < 0.1, F.col("actual")))
     return feedback.ab_results(rows)
 
 
@@ -143,7 +143,7 @@ def model_comparison(spark, d):
 
 
 @query("performance_summary", """
-SELECT id, model_id, ts_us, f1, (SELECT count(*) FROM predictions WHERE id % 3 <> 0 AND predicted <> actual) AS new_labels_pending,
+SELECT id, model_id, ts_us, f1, (SELECT count(*) FROM predictions WHERE anomaly < 0.1 AND predicted <> actual) AS new_labels_pending,
   (SELECT model_id FROM catalog WHERE is_deployed) AS current_model FROM model_events ORDER BY ts_us DESC, id DESC LIMIT 10""", "model_events", "catalog", "predictions")
 def performance_summary(spark, d):
     return feedback.performance_summary(views.model_events(spark, d), label_queue(spark, d))
@@ -188,6 +188,12 @@ def cross_validation(spark, d):
     return learning.cross_validate(rows, FEATURES_25, trees=10, depth=5)
 
 
+@query("retrain")
+def retrain(spark, d):
+    rows = learning.training_set(labelled(spark, d), FEATURES_25)
+    return feedback.retrain(rows, FEATURES_25, 0.5, AS_OF_US, trees=5, depth=4)[1]
+
+
 @query("isolation_scores")
 def isolation_scores(spark, d):
     return forest.isolation_forest(model_vector(spark, d), FEATURES_25)

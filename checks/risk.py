@@ -194,7 +194,7 @@ def calibrate_labelled_risk(spark, d):
                                                                         "calibrated_level")
 
 
-define("existing_alerts", "SELECT id AS transaction_id FROM transactions WHERE id % 10 = 0", "transactions")
+define("existing_alerts", "SELECT id AS transaction_id FROM transactions WHERE channel = 'branch'", "transactions")
 
 
 def scored_by_rules(spark, d):
@@ -208,7 +208,7 @@ SELECT id AS transaction_id, sender_account AS account_number, rule_score AS ris
 FROM rule_scores WHERE rule_level IN ('suspicious','high_risk','critical') AND id NOT IN (SELECT transaction_id FROM existing_alerts)""",
        "rule_scores", "existing_alerts")
 def generate_alerts(spark, d):
-    existing = views.transactions(spark, d).where("id % 10 = 0").select(F.col("id").alias("transaction_id"))
+    existing = views.transactions(spark, d).where("channel = 'branch'").select(F.col("id").alias("transaction_id"))
     return risk.generate_alerts(scored_by_rules(spark, d), existing).select(
         "transaction_id", "account_number", "risk_score", "risk_level", "status")
 
@@ -219,7 +219,7 @@ WHERE transaction_type IN ('deposit','withdraw') AND amount >= 10000 AND id NOT
        "transactions", "existing_alerts")
 def generate_ctrs(spark, d):
     tx = views.transactions(spark, d)
-    existing = tx.where("id % 10 = 0").select(F.col("id").alias("transaction_id"))
+    existing = tx.where("channel = 'branch'").select(F.col("id").alias("transaction_id"))
     return risk.generate_ctrs(tx, existing).select("transaction_id", "account_number",
                                                    F.col("amount").cast("double").alias("amount"), "status")
 
@@ -233,6 +233,15 @@ def ml_adjust(spark, d):
     return risk.adjust_prediction(views.predictions(spark, d)).select("id", "predicted", "confidence")
 
 
+@query("ml_adjust_batch", """
+SELECT id, CASE WHEN a THEN 'suspicious' WHEN b AND predicted <> 'super_suspicious' AND confidence < 0.75 THEN 'super_suspicious' ELSE predicted END AS predicted,
+  CASE WHEN a THEN greatest(confidence, 0.65) WHEN b THEN greatest(confidence, 0.78) ELSE confidence END AS confidence
+FROM (SELECT *, anomaly < -0.05 AND predicted = 'normal' AS a, NOT (anomaly < -0.05 AND predicted = 'normal') AND anomaly < -0.15 AS b FROM predictions)""",
+       "predictions")
+def ml_adjust_batch(spark, d):
+    return risk.adjust_prediction(views.predictions(spark, d), "batch").select("id", "predicted", "confidence")
+
+
 @query("ml_risk_score", f"SELECT id, round({ML_RISK.format(p='predicted', c='confidence', a='anomaly')}, 6)::DOUBLE AS ml_risk_score FROM predictions",
        "predictions")
 def ml_risk_score(spark, d):

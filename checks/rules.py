@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from checks.registry import define, query
 from moneytrail.constants import HOUR_US
+from moneytrail.functions.register import register_functions
 from moneytrail.operators import rules, windows
 from moneytrail.plans.hot import find_hot_keys
 from moneytrail.sources import views
@@ -175,3 +176,13 @@ def cash_reporting(spark, d):
     rows = rules.ctr_required(views.transactions(spark, d)).where("ctr_required")
     return rows.groupBy("transaction_type").agg(
         F.count(F.lit(1)).alias("n"), (F.sum("cents") / 100).alias("total"), (F.max("cents") / 100).alias("largest"))
+
+
+@query("sql_functions", f"""
+SELECT id, {RISK_LEVEL.format('rule_score')} AS level, CASE WHEN rule_score >= 75 THEN 'critical' WHEN rule_score >= 50 THEN 'high' WHEN rule_score >= 25 THEN 'medium' ELSE 'low' END AS composite,
+  CASE rule_level WHEN 'normal' THEN 0 WHEN 'low' THEN 1 WHEN 'suspicious' THEN 2 WHEN 'critical' THEN 4 ELSE 3 END::BIGINT AS rank FROM rule_scores""", "rule_scores")
+def sql_functions(spark, d):
+    register_functions(spark)
+    return assessed(spark, d).selectExpr("id", "aml_risk_level(rule_score) AS level",
+                                         "aml_composite_level(rule_score) AS composite",
+                                         "cast(aml_risk_rank(rule_level) AS BIGINT) AS rank")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moneytrail.constants import (ACTION_STATUS, DAY_US, RATING_LADDER, RATING_STEP, REQUEST_TYPES,
+from moneytrail.constants import (ACTION_STATUS, DAY_US, MINUTE_US, RATING_LADDER, RATING_STEP, REQUEST_TYPES,
                                   RESERVED_USERNAMES, SECOND_US)
 from moneytrail.functions.scalars import is_valid_national_id, lookup, normalize_national_id
 from moneytrail.operators.windows import SENDER
@@ -37,20 +37,26 @@ def _after(positions: Column, step: Column) -> Column:
 def risk_rating_after(accounts: DataFrame, actions: DataFrame) -> DataFrame:
     """Risk rating of each account after its actions in order, clamped to the ladder after every step.
 
-    Clamping makes the order matter, yet a run of steps is just a map from starting rung to end rung.  So each
-    account-day folds its own steps into such a map, and the days are folded in turn: no group holds more than a
-    day of actions, or one map per day.  ``actions`` has ``id``, ``ts_us``, ``account_number``, ``action``.
+    Clamping makes the order matter, yet a run of steps is just a map from starting rung to end rung.  So the steps
+    of a minute are folded into such a map, minutes into days, and days into one map per account: no group ever holds
+    more than a minute of actions, a day of minutes, or one map per day.  ``actions`` has ``id``, ``ts_us``,
+    ``account_number``, ``action``.
     """
     start = F.array(*[F.lit(i) for i in range(len(RATING_LADDER))])
-    steps = actions.select("account_number", "id", "ts_us", F.floor(F.col("ts_us") / DAY_US).alias("day"),
+    steps = actions.select("account_number", "id", "ts_us", F.floor(F.col("ts_us") / MINUTE_US).alias("at"),
                            lookup(F.col("action"), RATING_STEP, 0).alias("step")).where("step <> 0")
-    daily = steps.groupBy("account_number", "day").agg(
+    maps = steps.groupBy("account_number", "at").agg(
         F.sort_array(F.collect_list(F.struct("ts_us", "id", "step"))).alias("s"))
-    daily = daily.select("account_number", "day", F.aggregate("s", start, lambda m, x: _after(m, x["step"]))
-                         .alias("map"))
-    total = daily.groupBy("account_number").agg(F.sort_array(F.collect_list(F.struct("day", "map"))).alias("days"))
-    total = total.select("account_number", F.aggregate(
-        "days", start, lambda m, d: F.transform(m, lambda p: F.element_at(d["map"], p + 1))).alias("map"))
+    maps = maps.select("account_number", F.floor(F.col("at") / (DAY_US // MINUTE_US)).alias("day"), "at",
+                       F.aggregate("s", start, lambda m, x: _after(m, x["step"])).alias("map"))
+
+    def compose(df: DataFrame, groups: list[str], order: str) -> DataFrame:
+        parts = df.groupBy(*groups).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), "map")))
+                                        .alias("parts"))
+        return parts.select(*groups, F.aggregate("parts", start, lambda m, d: F.transform(
+            m, lambda p: F.element_at(d["map"], p + 1))).alias("map"))
+
+    total = compose(compose(maps, ["account_number", "day"], "at"), ["account_number"], "day")
     ladder = F.array(*[F.lit(x) for x in RATING_LADDER])
     at = F.greatest(F.array_position(ladder, F.lower(F.coalesce("risk_rating", F.lit("standard")))), F.lit(1))
     rows = accounts.join(total, "account_number", "left")

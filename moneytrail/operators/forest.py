@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from moneytrail.session import stable
+
 TREE_SCHEMA = "tree int, node int, feature int, split double, left int, right int, size int"
 
 
@@ -115,6 +117,7 @@ def score_isolation_forest(df: DataFrame, forest: list, columns: list[str], samp
 def isolation_forest(df: DataFrame, columns: list[str], trees: int = 150, contamination: float = 0.08,
                      seed: int = 42) -> DataFrame:
     """``id`` and ``anomaly``: negative for about the ``contamination`` share of rows, lower is more unusual."""
+    df = stable(df.select("id", *columns))
     nodes = fit_isolation_forest(df, columns, trees, seed=seed).collect()
     scored = score_isolation_forest(df, nodes, columns)
     cut = scored.agg(F.percentile_approx("raw_score", 1 - contamination, 10_000)).first()[0]

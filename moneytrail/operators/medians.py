@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from moneytrail.operators.windows import SENDER
 from moneytrail.plans.hot import NO_HOT_KEYS, HotKeys
 from moneytrail.plans.scan import Measure, count_measure, prior
+from moneytrail.session import stable
 
 _SMALL = 256  # rows; sorting every prefix of so short a history is cheaper than leaving the JVM
 _BITS = 4
@@ -114,4 +115,5 @@ def _digit_medians(rows: DataFrame, hot: HotKeys) -> DataFrame:
         both = both.withColumn("_w", walked)
         asks = both.select("id", SENDER, "ts_us", "cents", "part", F.col("_w.rank").alias("rank"),
                            (F.col("prefix") * (1 << _BITS) + F.col("_w.d")).cast("long").alias("prefix"))
+        asks = stable(asks)  # each level reads the one before; keep the lineage short
     return asks.groupBy("id").agg(F.sum("prefix").alias("median_cents2"))

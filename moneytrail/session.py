@@ -1,6 +1,7 @@
 """Session settings the jobs are written for."""
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -26,3 +27,11 @@ def build_session(master: str | None = None, app: str = "moneytrail", **extra) -
 def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
     """Shared folder for checkpoints and streaming state, as the session names it."""
     return spark.conf.get("spark.checkpoint.dir", None) or fallback
+
+
+def stable(df: DataFrame) -> DataFrame:
+    """Rows an iterative job reads many times: checkpointed in the shared folder if the session names one, so that
+    neither a lost executor nor a long lineage repeats the work; otherwise cached."""
+    if checkpoint_dir(df.sparkSession):
+        return df.checkpoint()
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
