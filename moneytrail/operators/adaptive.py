@@ -39,7 +39,7 @@ def _mix(shares: dict, key: str, alpha: float) -> dict:
 
 
 def _top(weights: dict, n: int = 10) -> dict:
-    return dict(sorted(weights.items(), key=lambda kv: -kv[1])[:n])
+    return dict(sorted(weights.items(), key=lambda kv: (-kv[1], kv[0]))[:n])  # ties by name: repeatable
 
 
 def fold_rows(state: dict, rows, with_totals: bool = True) -> dict:
