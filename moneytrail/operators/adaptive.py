@@ -143,12 +143,7 @@ def _country_weights(rows: DataFrame, state: DataFrame, hot: HotKeys) -> DataFra
     """Weight of each country: its own rows add ``alpha`` (the first ever, twice), rows of others take one percent."""
     one = F.lit(1).cast("long")
     keyed = rows.select("account", "country", "id", "ts_us", "place", "alpha")
-    keyed = keyed.withColumn("_k", F.concat_ws("\u0001", "account", "country"))
-    pair_hot = HotKeys()
-    if hot:
-        big = keyed.where(hot.is_hot(F.col("account"))).select("_k").distinct()
-        pair_hot = HotKeys(tuple(sorted(r["_k"] for r in big.collect())), hot.chunk_us)  # hot accounts x countries
-    keyed = running(keyed, "_k", [Measure("own", one)], hot=pair_hot)
+    keyed = running(keyed, ["account", "country"], [Measure("own", one)], hot=hot)
     ends = keyed.groupBy("account").agg(F.max("place").alias("rows"))
     per = keyed.groupBy("account", "country").agg(F.max("own").alias("owns"))
     start = state.select("account", F.explode("common_countries").alias("country", "w0"))

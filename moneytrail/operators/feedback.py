@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moneytrail.constants import DAY_US
@@ -81,8 +81,7 @@ def model_catalog(events: DataFrame, deployed_only: bool = False) -> DataFrame:
     per = events.groupBy("model_id").agg(
         F.min("ts_us").alias("registered_us"), F.max(F.when(F.col("action") == "deployed", at)).alias("up"),
         F.max(F.when(F.col("action") == "undeployed", at)).alias("down"), F.count(F.lit(1)).alias("events"))
-    everywhere = Window.partitionBy()  # one row per model
-    newest = F.max("up").over(everywhere)
+    newest = per.agg(F.max("up")).scalar()
     live = F.coalesce((F.col("up") == newest) & (F.col("down").isNull() | (F.col("down") < F.col("up"))), F.lit(False))
     out = per.select("model_id", "registered_us", F.col("up.ts_us").alias("deployed_us"), live.alias("is_deployed"),
                      "events")

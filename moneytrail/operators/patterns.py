@@ -19,9 +19,10 @@ from moneytrail.plans.hot import NO_HOT_KEYS, HotKeys
 SENDER_GROUPS = ("lifetime", "moments", "velocity", "band", "transfers", "large")
 
 
-def pattern_history(df: DataFrame, hot: HotKeys = NO_HOT_KEYS, hot_accounts: HotKeys = NO_HOT_KEYS) -> DataFrame:
-    """Everything the detectors read, as columns."""
-    rows = sender_history(df, SENDER_GROUPS, hot)
+def pattern_history(df: DataFrame, hot: HotKeys = NO_HOT_KEYS, hot_accounts: HotKeys = NO_HOT_KEYS,
+                    more: tuple = ()) -> DataFrame:
+    """Everything the detectors read, as columns, with ``more`` groups of sender history."""
+    rows = sender_history(df, SENDER_GROUPS + more, hot)
     rows = reverse_transfers(rows, hot_accounts)
     rows = rows.join(similar_reverse(df), "id", "left")
     return rows.join(party_history(df, hot_accounts), "id", "left")
@@ -144,14 +145,16 @@ def summarize_patterns(df: DataFrame) -> DataFrame:
 
 
 def detect_patterns(df: DataFrame, accounts: DataFrame, as_of_us: int, hot: HotKeys = NO_HOT_KEYS,
-                    hot_accounts: HotKeys = NO_HOT_KEYS) -> DataFrame:
+                    hot_accounts: HotKeys = NO_HOT_KEYS, also: dict[str, list[str]] | None = None) -> DataFrame:
     """Add ``patterns``, ``pattern_count``, ``high_risk_patterns`` and ``pattern_score``.
 
-    ``accounts`` needs ``account_number``, ``customer_id`` and ``created_at``.
+    ``accounts`` needs ``account_number``, ``customer_id`` and ``created_at``.  ``also`` names further groups of
+    sender history and the columns of theirs to keep, so that they share the detectors' scan.
     """
-    rows = with_owners(pattern_history(df, hot, hot_accounts), accounts, as_of_us)
+    also = also or {}
+    rows = with_owners(pattern_history(df, hot, hot_accounts, tuple(also)), accounts, as_of_us)
     rows = rows.withColumn("patterns", F.array_compact(F.array(*pattern_structs())))
-    return summarize_patterns(rows).select(*df.columns, "patterns", "pattern_count", "high_risk_patterns",
+    return summarize_patterns(rows).select(*df.columns, *[c for cs in also.values() for c in cs], "patterns", "pattern_count", "high_risk_patterns",
                                            "pattern_score")
 
 

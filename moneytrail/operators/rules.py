@@ -17,13 +17,14 @@ HISTORY = ["prior_count_1h", "prior_cents_1h", "small_deposit_count_1h", "small_
            "outflow_cents_24h", "recipients_1h"]
 
 
-def rule_history(df: DataFrame, hot: HotKeys = NO_HOT_KEYS) -> DataFrame:
-    """The six history columns the rules read: one shuffle on the sender."""
+def rule_history(df: DataFrame, hot: HotKeys = NO_HOT_KEYS, partitioned: bool = False) -> DataFrame:
+    """The six history columns the rules read: one shuffle on the sender, none if ``df`` is ``partitioned`` by it."""
     kind = F.col("transaction_type")
     transfer = kind == "transfer"
     small = (kind == "deposit") & (F.col("amount") < SMALL_DEPOSIT)
     outflow = kind.isin("transfer", "withdraw")
-    rows = on_sender(df.withColumn("_on", F.coalesce(transfer, F.lit(False))), hot)
+    rows = df.withColumn("_on", F.coalesce(transfer, F.lit(False)))
+    rows = rows if partitioned else on_sender(rows, hot)
     rows = neighbours(rows, [SENDER, RECEIVER, "_on"], hot=hot)
     rows = prior(rows, SENDER, [
         count_measure("prior_count_1h", None, HOUR_US),
@@ -31,7 +32,7 @@ def rule_history(df: DataFrame, hot: HotKeys = NO_HOT_KEYS) -> DataFrame:
         count_measure("small_deposit_count_1h", small, HOUR_US),
         Measure("small_deposit_cents_1h", F.when(small, F.col("cents")), "sum", HOUR_US),
         Measure("outflow_cents_24h", F.when(outflow, F.col("cents")), "sum", DAY_US),
-        distinct_measure("_others_1h", F.col("_on"), HOUR_US)], hot=hot)
+        distinct_measure("_others_1h", F.col("_on"), HOUR_US)], hot=hot, partitioned=True)
     known = F.coalesce(F.col("_on") & (F.col("_prev") >= F.col("ts_us") - HOUR_US), F.lit(False))
     return (rows.withColumn("recipients_1h", F.col("_others_1h") + F.when(known, 0).otherwise(1))
             .drop("_on", "_next", "_prev", "_others_1h"))
@@ -106,13 +107,14 @@ def rule_structs() -> list[Column]:
     ]
 
 
-def assess_rules(df: DataFrame, hot: HotKeys = NO_HOT_KEYS, enabled: bool = True) -> DataFrame:
+def assess_rules(df: DataFrame, hot: HotKeys = NO_HOT_KEYS, enabled: bool = True,
+                 partitioned: bool = False) -> DataFrame:
     """Add ``rules`` (array of hits), ``rule_score``, ``rule_level`` and ``rule_reason``."""
     if not enabled:
         return df.withColumns({"rules": F.array().cast(f"array<{RULE_HIT.simpleString()}>"),
                                "rule_score": F.lit(0).cast("long"), "rule_level": F.lit("normal"),
                                "rule_reason": F.lit("Rule engine disabled - AI-only mode")})
-    rows = rule_history(df, hot).withColumn("rules", F.array_compact(F.array(*rule_structs())))
+    rows = rule_history(df, hot, partitioned).withColumn("rules", F.array_compact(F.array(*rule_structs())))
     return rollup(rows).drop(*HISTORY)
 
 

@@ -203,7 +203,6 @@ def next_open_alert(alerts: DataFrame) -> DataFrame:
     Only the two newest open alerts can be the answer, so no sort of the whole queue is needed.
     """
     top = alerts.where("status = 'open'").orderBy(F.col("ts").desc(), F.col("id").desc()).limit(2)
-    pair = top.agg(F.sort_array(F.collect_list(F.struct(F.col("ts"), F.col("id"))), False).alias("top"))
-    first, second = F.get("top", 0)["id"], F.get("top", 1)["id"]
-    return (alerts.join(F.broadcast(pair))  # one row
-            .select(*alerts.columns, F.when(first == F.col("id"), second).otherwise(first).alias("next_alert_id")))
+    ranked = top.agg(F.sort_array(F.collect_list(F.struct(F.col("ts"), F.col("id"))), False).alias("top"))
+    first, second = (ranked.select(F.get("top", F.lit(i))["id"]).scalar() for i in (0, 1))
+    return alerts.select(*alerts.columns, F.when(first == F.col("id"), second).otherwise(first).alias("next_alert_id"))

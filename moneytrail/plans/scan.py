@@ -141,21 +141,22 @@ def neighbours(df: DataFrame, keys: list[str], ts_us: str = "ts_us", tie: str =
                       F.coalesce("_prev", "_hi_before").alias("_prev"))
 
 
-def running(df: DataFrame, key: str, measures: list[Measure], ts_us: str = "ts_us", tie: str = "id",
+def running(df: DataFrame, key: str | list[str], measures: list[Measure], ts_us: str = "ts_us", tie: str = "id",
             hot: HotKeys = NO_HOT_KEYS) -> DataFrame:
     """Like :func:`prior`, but in ``(ts_us, tie)`` order and including the row itself."""
-    groups = [key]
+    keys = [key] if isinstance(key, str) else list(key)
+    groups = list(keys)
     columns = df.columns
     rows = df.select("*", *[m.value.alias(f"_v_{m.name}") for m in measures])
     if hot:
-        rows = rows.withColumn("_chunk", hot.chunk(F.col(key), F.col(ts_us)))
+        rows = rows.withColumn("_chunk", hot.chunk(F.col(keys[0]), F.col(ts_us)))
         groups.append("_chunk")
     w = Window.partitionBy(*groups).orderBy(ts_us, tie).rowsBetween(_FIRST, Window.currentRow)
     out = rows.select("*", *[_AGG[m.op](f"_v_{m.name}").over(w).alias(m.name) for m in measures])
     if hot:
-        totals = (rows.where(hot.is_hot(F.col(key))).groupBy(*groups)
+        totals = (rows.where(hot.is_hot(F.col(keys[0]))).groupBy(*groups)
                   .agg(*[_AGG[m.op](f"_v_{m.name}").alias(f"_c_{m.name}") for m in measures]))
-        before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(_FIRST, -1)
+        before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(_FIRST, -1)
         carry = totals.select(*groups, *[_AGG[m.op](f"_c_{m.name}").over(before).alias(f"_p_{m.name}")
                                          for m in measures])
         out = out.join(carry, groups, "left").select(*columns, *[_merge(m).alias(m.name) for m in measures])
