@@ -32,6 +32,10 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | No
 def stable(df: DataFrame) -> DataFrame:
     """Rows an iterative job reads many times: checkpointed in the shared folder if the session names one, so that
     neither a lost executor nor a long lineage repeats the work; otherwise cached."""
-    if checkpoint_dir(df.sparkSession):
+    folder = checkpoint_dir(df.sparkSession)
+    if folder:
+        context = df.sparkSession.sparkContext
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(folder)
         return df.checkpoint()
     return df.persist(StorageLevel.MEMORY_AND_DISK)

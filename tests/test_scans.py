@@ -1,5 +1,6 @@
 """History scans: hot keys, causality, partition counts, plan shape, medians."""
 
+import os
 import statistics
 from collections import defaultdict
 
@@ -123,3 +124,10 @@ def test_newest_rows_are_limited_before_the_shuffle(spark, tiny):
 def test_scan_reads_only_needed_columns(spark, tiny):
     text = plan(views.accounts(spark, tiny).select("account_number", "pep_flag"))
     assert "c_name" not in text and "c_acctbal" not in text
+
+
+def test_stable_rows_use_the_shared_folder(spark, tx):
+    from moneytrail.session import checkpoint_dir, stable
+    rows = stable(tx.select("id"))
+    assert rows.count() == tx.count()
+    assert any(files for _, _, files in os.walk(checkpoint_dir(spark)))
