@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from checks.registry import define, query
 from checks.rules import BY_SENDER, D7, H1, H24, PAST
-from moneytrail.operators import features, history, ledger
-from moneytrail.plans.hot import find_hot_keys
+from moneytrail.operators import features, history
+from moneytrail.plans.hot import find_hot_accounts, find_hot_keys
 from moneytrail.sources import views
 
 AS_OF_US = 1704175200000000  # 2024-01-02 06:00:00
@@ -92,7 +92,7 @@ FROM (SELECT t.*, CAST(t.amount AS DOUBLE) AS amt, a.created_at, a.kyc_status, a
 def full_vector(spark, d, columns=features.FEATURES_82):
     tx = views.transactions(spark, d)
     return features.features_82(tx, views.accounts(spark, d), AS_OF_US, find_hot_keys(tx, "sender_account"),
-                                find_hot_keys(ledger.account_ledger(tx), "account"), columns)
+                                find_hot_accounts(tx), columns)
 
 
 def rounded(df, columns):

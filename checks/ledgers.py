@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from checks.registry import define, query
 from moneytrail.operators import ledger, windows
-from moneytrail.plans.hot import find_hot_keys
+from moneytrail.plans.hot import find_hot_accounts
 from moneytrail.sources import views
 
 LEDGER = """
@@ -46,8 +46,8 @@ RUN = "PARTITION BY account ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND
 @query("running_balance", f"SELECT id, account, CAST(sum(signed) OVER ({RUN}) AS DOUBLE) AS balance FROM ledger",
        "ledger")
 def running_balance(spark, d):
-    rows = ledger.account_ledger(views.transactions(spark, d))
-    out = windows.running_balance(rows, hot=find_hot_keys(rows, "account"))
+    tx = views.transactions(spark, d)
+    out = windows.running_balance(ledger.account_ledger(tx), hot=find_hot_accounts(tx))
     return out.select("id", "account", (F.col("balance_cents") / 100).alias("balance"))
 
 
@@ -55,8 +55,8 @@ def running_balance(spark, d):
 SELECT id, account, CAST(s - least(0, min(s) OVER ({RUN})) AS DOUBLE) AS balance
 FROM (SELECT *, sum(signed) OVER ({RUN}) AS s FROM ledger)""", "ledger")
 def floored_balance(spark, d):
-    rows = ledger.account_ledger(views.transactions(spark, d))
-    out = windows.running_balance(rows, floor=True, hot=find_hot_keys(rows, "account"))
+    tx = views.transactions(spark, d)
+    out = windows.running_balance(ledger.account_ledger(tx), floor=True, hot=find_hot_accounts(tx))
     return out.select("id", "account", (F.col("balance_cents") / 100).alias("balance"))
 
 
@@ -65,8 +65,8 @@ SELECT id, account, CAST((epoch_us(ts) - max(epoch_us(ts)) OVER (PARTITION BY ac
   RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING)) // 86400000000 AS BIGINT) AS idle_days
 FROM order_ledger""", "order_ledger")
 def days_since_previous(spark, d):
-    rows = ledger.account_ledger(views.order_transactions(spark, d))
-    return windows.days_since_previous(rows, find_hot_keys(rows, "account")).select("id", "account", "idle_days")
+    tx = views.order_transactions(spark, d)
+    return windows.days_since_previous(ledger.account_ledger(tx), find_hot_accounts(tx)).select("id", "account", "idle_days")
 
 
 @query("fan_in_out", """
@@ -86,7 +86,7 @@ SELECT id, (SELECT count(*) FROM transactions b WHERE b.sender_account = a.recei
 FROM transactions a""", "transactions")
 def reverse_transfers(spark, d):
     tx = views.transactions(spark, d)
-    hot = find_hot_keys(ledger.account_ledger(tx), "account")
+    hot = find_hot_accounts(tx)
     return ledger.reverse_transfers(tx, hot).select("id", "reverse_count", "reverse_first_us")
 
 

@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 from checks.features import AS_OF_US
 from checks.registry import define, query
 from checks.rules import BY_SENDER, H1, H24, PAST
-from moneytrail.operators import ledger, patterns
-from moneytrail.plans.hot import find_hot_keys
+from moneytrail.operators import patterns
+from moneytrail.plans.hot import find_hot_accounts, find_hot_keys
 from moneytrail.sources import views
 import checks.ledgers  # noqa: F401
 
@@ -72,7 +72,7 @@ def detected(spark, d, view=views.transactions, as_of_us=AS_OF_US):
     tx = view(spark, d)
     accounts = views.accounts(spark, d).withColumn("customer_id", F.expr("id div 2"))
     return patterns.detect_patterns(tx, accounts, as_of_us, find_hot_keys(tx, "sender_account"),
-                                    find_hot_keys(ledger.account_ledger(tx), "account"))
+                                    find_hot_accounts(tx))
 
 
 @query("pattern_scores", "SELECT id, pattern_score, pattern_count, high_count::BIGINT AS high_count, types FROM "
@@ -87,7 +87,7 @@ def flagged(spark, d, kind, view, as_of_us):
     tx = view(spark, d)
     accounts = views.accounts(spark, d).withColumn("customer_id", F.expr("id div 2"))
     rows = patterns.pattern_history(tx, find_hot_keys(tx, "sender_account"),
-                                    find_hot_keys(ledger.account_ledger(tx), "account"))
+                                    find_hot_accounts(tx))
     rows = patterns.with_owners(rows, accounts, as_of_us)
     return rows.where(F.coalesce(patterns.pattern_flags()[kind], F.lit(False))).select("id")
 

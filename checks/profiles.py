@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from checks.registry import define, query
 from moneytrail.operators import anomaly, features, ledger, profiles, windows
-from moneytrail.plans.hot import find_hot_keys
+from moneytrail.plans.hot import find_hot_accounts, find_hot_keys
 from moneytrail.sources import tables, views
 import checks.features  # noqa: F401
 import checks.ledgers  # noqa: F401
@@ -211,8 +211,8 @@ g AS (SELECT account, max(n) AS n, avg(bal::DOUBLE) / 100 AS m, coalesce(stddev_
 SELECT account, round(m, 6) AS avg_balance, round(sd, 4) AS balance_volatility, coalesce(n >= 6 AND ssd < st * 0.3, false) AS income_cycle_detected,
   CASE WHEN n >= 6 AND ssd < st * 0.3 THEN floor(st)::BIGINT END AS income_cycle_period FROM g""", "order_ledger")
 def income_cycle(spark, d):
-    led = ledger.account_ledger(views.order_transactions(spark, d))
-    series = windows.running_balance(led, hot=find_hot_keys(led, "account"))
+    tx = views.order_transactions(spark, d)
+    series = windows.running_balance(ledger.account_ledger(tx), hot=find_hot_accounts(tx))
     out = profiles.income_cycle(series)
     return out.select("account", F.round("avg_balance", 6).alias("avg_balance"),
                       F.round("balance_volatility", 4).alias("balance_volatility"), "income_cycle_detected",
