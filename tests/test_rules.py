@@ -86,3 +86,15 @@ def test_composite_levels(spark):
     from moneytrail.functions.scalars import composite_level
     df = spark.createDataFrame([(10.0,), (40.0,), (65.0,), (85.0,)], "s double")
     assert [r[0] for r in df.select(composite_level(F.col("s"))).collect()] == ["low", "medium", "high", "critical"]
+
+
+def test_pipeline_without_rules_or_models(spark, tiny, tx):
+    """The bare pipeline leaves every transaction at the score behaviour and models give: none."""
+    from moneytrail.plans.online import score_online
+    from moneytrail.sources import views
+    none = spark.createDataFrame([], "p_name string, w_name string, score double")
+    rows = score_online(tx, views.accounts(spark, tiny), views.watchlist(spark, tiny), pairs=none,
+                        rules_enabled=False)
+    assert rows.where("risk_score != 0 OR risk_level != 'normal' OR rule_score != 0").count() == 0
+    assert rows.count() == tx.count()
+    assert rows.where("mandatory AND size(screening_hits) = 0").count() == 0
