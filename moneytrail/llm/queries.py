@@ -25,3 +25,85 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = near_duplicates(table(spark, sf_dir, "documents"))
     return rows.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                        F.col("component").alias("component_id"))
+
+
+@query
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements and verdict of every document."""
+    from moneytrail.llm.quality import quality_report
+    return quality_report(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+ORACLE["op2_quality_rules"] = r"""
+WITH split_up AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS t,
+    [x for x in regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> ''] AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i+4], ' ') AS g FROM split_up, unnest(range(1, len(w) - 3)) AS u(i)),
+again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM windows) WHERE c > 1),
+covered AS (SELECT doc_id, CAST(sum(least(5, coalesce(nx - i, 5))) AS BIGINT) AS n FROM
+  (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nx FROM again) GROUP BY doc_id),
+measured AS (
+  SELECT s.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words,
+    CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len([x for x in string_split(t, chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')])
+      - len(list_distinct([x for x in string_split(t, chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')])) AS BIGINT) AS n_dup_lines,
+    coalesce(c.n, 0) AS n_repeat_words
+  FROM split_up s LEFT JOIN covered c ON c.doc_id = s.doc_id),
+rates AS (SELECT *, greatest(n_words, 1) AS d FROM measured),
+long AS (
+  SELECT doc_id, lang, source, 'word_length' AS metric, word_chars * 1000 // d AS v FROM rates WHERE n_words > 0
+  UNION ALL SELECT doc_id, lang, source, 'symbols', n_symbols * 1000 // d FROM rates WHERE n_words > 0
+  UNION ALL SELECT doc_id, lang, source, 'dup_lines', n_dup_lines * 1000 // d FROM rates WHERE n_words > 0
+  UNION ALL SELECT doc_id, lang, source, 'repeats', n_repeat_words * 1000 // d FROM rates WHERE n_words > 0),
+sketch AS (
+  SELECT lang, source, metric, (v >> s) << s AS bucket, count(*) AS n FROM
+    (SELECT *, CAST(greatest(0, length(bin(v)) - 7) AS BIGINT) AS s FROM long) GROUP BY ALL),
+levels AS (
+  SELECT 0 AS level, lang, source, metric, bucket, n FROM sketch
+  UNION ALL SELECT 1, lang, NULL, metric, bucket, sum(n) FROM sketch GROUP BY lang, metric, bucket
+  UNION ALL SELECT 2, NULL, NULL, metric, bucket, sum(n) FROM sketch GROUP BY metric, bucket),
+ranked AS (
+  SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric) AS total,
+    sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY bucket) AS up_to FROM levels),
+cuts AS (
+  SELECT level, lang, source, metric, max(total) AS total, min(bucket) FILTER (4 * up_to >= total) AS q1,
+    min(bucket) FILTER (4 * up_to >= 3 * total) AS q3 FROM ranked GROUP BY level, lang, source, metric),
+rules AS (SELECT * FROM (VALUES ('word_length', 500, 4, true), ('symbols', 100, 3, false), ('dup_lines', 50, 3, false),
+  ('repeats', 100, 3, false)) AS r(metric, least_spread, reach, has_low)),
+limited AS (
+  SELECT c.*, q3 + reach * greatest(q3 - q1, least_spread) AS high,
+    CASE WHEN has_low THEN q1 - reach * greatest(q3 - q1, least_spread) END AS low FROM cuts c JOIN rules USING (metric)),
+outside AS (
+  SELECT l.doc_id, bool_or(
+      l.v > CASE WHEN a.total >= 200 THEN a.high WHEN b.total >= 200 THEN b.high ELSE c.high END
+      OR coalesce(l.v < CASE WHEN a.total >= 200 THEN a.low WHEN b.total >= 200 THEN b.low ELSE c.low END, false)) AS bad
+  FROM long l
+  JOIN limited a ON a.level = 0 AND a.metric = l.metric AND a.lang IS NOT DISTINCT FROM l.lang AND a.source IS NOT DISTINCT FROM l.source
+  JOIN limited b ON b.level = 1 AND b.metric = l.metric AND b.lang IS NOT DISTINCT FROM l.lang
+  JOIN limited c ON c.level = 2 AND c.metric = l.metric GROUP BY l.doc_id),
+based AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM measured)
+SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT coalesce(bad, false) AS kept
+FROM based m LEFT JOIN outside o ON o.doc_id = m.doc_id"""
+
+
+@query
+def op3_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the pages as WARC archives, reads them back and says what was found."""
+    from moneytrail.llm.common import new_path, written
+    from moneytrail.llm.warc import read_archives, resolved, write_archives
+    path = new_path(spark, "archives")
+    write_archives(table(spark, sf_dir, "pages"), path, segment_bytes=16_384)
+    found = read_archives(spark, path).where("whole").select(
+        "type", "record_id", F.col("page_id").cast("long").alias("page_id"), "refers_to",
+        F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
+    return resolved(written(found, "records"))
+
+
+ORACLE["op3_warc_archives"] = """
+WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes,
+  sha1(coalesce(html, '')) AS payload_digest FROM pages),
+k AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS keeper FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> keeper THEN keeper END AS refers_to FROM k"""
