@@ -107,3 +107,27 @@ WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGI
 k AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS keeper FROM p)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> keeper THEN keeper END AS refers_to FROM k"""
+
+
+@query
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the token ids of all documents, reads the files back and says where each document is."""
+    import public_tokenizers
+    from moneytrail.llm.common import new_path
+    from moneytrail.llm.token_files import token_index, write_tokens
+    path = new_path(spark, "tokens")
+    write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_index(spark, path)
+
+
+@query
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how many other fingerprints are within three bits."""
+    from moneytrail.llm.common import written
+    from moneytrail.llm.fingerprints import document_fingerprints, neighbours
+    rows = written(document_fingerprints(table(spark, sf_dir, "documents")), "fingerprints")
+    near = neighbours(rows.select(F.col("fingerprint").alias("fp")))
+    return rows.join(near, rows["fingerprint"] == near["fp"], "left").select(
+        F.col("id").alias("doc_id"), "n_chars", "edited_sha256", F.lower(F.hex("fingerprint")).alias("fingerprint"),
+        F.lower(F.hex("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next",
+        F.coalesce("n_near", F.lit(0)).alias("n_near"))
