@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moneytrail.llm.common import byte_values
+from moneytrail.llm.common import byte_values, written
 
 VERSION = b"WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -98,7 +98,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     Of rows with equal payloads of ``min_revisit`` bytes or more, those with the largest id are responses and the others
     revisit them. A null payload is empty. Rows with a null id revisit a payload that has an id; rows that repeat the
     largest id of a payload all stay responses. Payloads do not leave their task unless the table of repeated payloads
-    is too large for AQE to broadcast; that table has a row per payload, whatever the number of its copies.
+    is above Spark's limit for broadcasts; that table has a row per payload, whatever the number of its copies.
     """
     body = F.coalesce(F.col(body_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), body.alias("payload"),
@@ -107,7 +107,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
              .agg(F.max("id").alias("keeper"), F.count("*").alias("n")).where("n > 1 AND keeper IS NOT NULL")
              .select("digest", "keeper"))
     long_enough = F.octet_length("payload") >= min_revisit
-    marked = rows.join(again, "digest", "left").select(
+    # as a written table its size is known before the join is planned
+    marked = rows.join(written(again, "repeated"), "digest", "left").select(
         F.col("id").cast("string").alias("id"), "url", "payload", "digest", _record_id(F.col("id"), F.col("digest")).alias("record_id"),
         F.when(long_enough & F.col("keeper").isNotNull() & ~F.col("id").eqNullSafe(F.col("keeper")),
                _record_id(F.col("keeper"), F.col("digest"))).alias("target"))
