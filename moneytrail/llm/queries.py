@@ -131,3 +131,74 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "n_chars", "edited_sha256", F.lower(F.hex("fingerprint")).alias("fingerprint"),
         F.lower(F.hex("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next",
         F.coalesce("n_near", F.lit(0)).alias("n_near"))
+
+
+@query
+def op8_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without later copies of repeated runs of lines."""
+    from moneytrail.llm.line_runs import line_dedup
+    rows = line_dedup(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.col("dedup.n_lines").cast("long").alias("n_lines"),
+                       F.col("dedup.n_deleted").cast("long").alias("n_deleted"),
+                       F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLE["op8_line_runs"] = r"""
+WITH every AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+l AS (
+  SELECT doc_id, n, line, trim(line) AS key, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS pos,
+    len([x for x in regexp_split_to_array(line, '[\x20\x09-\x0D]+') if x <> '']) AS w
+  FROM every WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+p AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY pos) AS up_to FROM l),
+spans AS (
+  SELECT a.doc_id, a.pos AS s, min(b.pos) AS e FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos AND a.pos + 7
+  WHERE b.up_to - a.up_to + a.w >= 8 GROUP BY a.doc_id, a.pos
+  UNION SELECT a.doc_id, max(b.pos), a.pos FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos - 7 AND a.pos
+  WHERE a.up_to - b.up_to + b.w >= 8 GROUP BY a.doc_id, a.pos),
+runs AS (SELECT s.doc_id, s, e, string_agg(key, chr(10) ORDER BY pos) AS run FROM spans s JOIN l ON l.doc_id = s.doc_id AND pos BETWEEN s AND e
+  GROUP BY s.doc_id, s, e),
+later AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, s) AS k FROM runs) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS pos FROM later),
+marked AS (SELECT y.doc_id, y.n, y.line, g.pos IS NOT NULL AS out, l.pos IS NOT NULL AS full_line FROM every y
+  LEFT JOIN l ON l.doc_id = y.doc_id AND l.n = y.n LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.pos),
+kept AS (SELECT doc_id, count(*) FILTER (full_line) AS n_lines, count(*) FILTER (out) AS n_deleted,
+  coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT out), '') AS t FROM marked GROUP BY doc_id)
+SELECT doc_id, n_lines, n_deleted, CAST(length(t) AS BIGINT) AS kept_chars, sha256(t) AS kept_sha256 FROM kept"""
+
+
+@query
+def op10_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slot of every document in a mixture of all sources with flattened weights."""
+    from moneytrail.llm.mixing import mix
+    rows = mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return rows.select("doc_id", "source", "mixed.block", F.col("mixed.place").cast("long").alias("place"), "mixed.slot",
+                       "mixed.release", "mixed.deadline")
+
+
+ORACLE["op10_pfair_mixing"] = """
+WITH RECURSIVE counts AS (SELECT source, count(*) AS c FROM documents GROUP BY source),
+shares AS (SELECT source, row_number() OVER (ORDER BY source) AS i,
+  greatest(1, CAST(ceil(100 * sqrt(c / (SELECT max(c) FROM counts))) AS BIGINT)) AS n FROM counts),
+setting AS (SELECT list(n ORDER BY i) AS n, CAST(sum(n) AS BIGINT) AS total, count(*) AS sources FROM shares),
+edf(slot, k, pick) AS (
+  SELECT CAST(-1 AS BIGINT), [CAST(0 AS BIGINT) for x in range(sources)], CAST(0 AS BIGINT) FROM setting
+  UNION ALL
+  SELECT slot, [k[x] + CASE WHEN x = pick THEN 1 ELSE 0 END for x in range(1, sources + 1)], pick FROM (
+    SELECT slot + 1 AS slot, k, sources, list_min([((k[x] + 1) * total + n[x] - 1) // n[x] * 100000 + x
+      for x in range(1, sources + 1) if k[x] < n[x] AND k[x] * total // n[x] <= slot + 1]) % 100000 AS pick
+    FROM edf, setting WHERE slot + 1 < total)),
+cycle AS (SELECT s.source, s.n, k[s.i] - 1 AS j, slot, total FROM edf, setting, shares s WHERE s.i = edf.pick),
+ranked AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR))) - 1 AS r FROM documents),
+blocks AS (SELECT r.doc_id, r.source, r // 4 AS block, r % 4 AS place, s.n FROM ranked r JOIN shares s ON s.source = r.source)
+SELECT b.doc_id, b.source, b.block, b.place, b.block // b.n * total + slot AS slot,
+  b.block // b.n * total + j * total // b.n AS release,
+  b.block // b.n * total + ((j + 1) * total + b.n - 1) // b.n AS deadline
+FROM blocks b JOIN cycle c ON c.source = b.source AND c.j = b.block % b.n"""
+
+
+@query
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bin of every piece of every document, in sequences of 2048 words."""
+    from moneytrail.llm.packing import pack
+    return pack(table(spark, sf_dir, "documents"), capacity=2048).withColumnRenamed("id", "doc_id")
