@@ -19,6 +19,7 @@ exception lists, and leave a zero. In a group of 64 values, value i takes the bi
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import struct
@@ -43,8 +44,8 @@ PERCENTILE = 95
 SEGMENT_VALUES = 1 << 20
 SEGMENTS_PER_FILE = 8
 END_ID = 2
-#: Words whose ids a task remembers; it starts over when there are more.
-REMEMBERED = 300_000
+#: Words whose ids a worker remembers; it starts over when there are more.
+REMEMBERED = 1_200_000
 _DOUBLE_SPACE = re.compile(r"\s\s|^\s|\s$")
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -183,7 +184,6 @@ class Encoder:
         if len(self.first) + len(self.later) > self.remembered:
             self.first.clear()
             self.later.clear()
-            self.later = {}
         runs = [self._runs(t) for t in texts]
         first = {r[0] for rs in runs for r in rs} - self.first.keys()
         later: set[str] = set()
@@ -199,6 +199,12 @@ class Encoder:
         return [line_break.join(b"".join((first_of(r[0]), *map(later_of, r[1:]))) for r in rs) for rs in runs]
 
 
+@functools.lru_cache(1)
+def _encoder(tokenizer_file: str, by_word: bool) -> Encoder:
+    """One for a Python worker: what a task has looked up is there for the next."""
+    return Encoder(tokenizer_file, by_word)
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text",
                  end_id: int = END_ID, by_word: bool = True) -> None:
     """Encodes every whole text, adds ``end_id`` and writes the ids under ``path`` in ascending order of whole-number ids.
@@ -210,7 +216,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, id_col: str =
     rows = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_file, by_word)
+        encoder = _encoder(tokenizer_file, by_word)
         end = np.array([end_id], "<u4").tobytes()
         partition, number, before = TaskContext.get().partitionId(), 0, 0
         ids, parts, held = [], [], 0
