@@ -202,3 +202,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bin of every piece of every document, in sequences of 2048 words."""
     from moneytrail.llm.packing import pack
     return pack(table(spark, sf_dir, "documents"), capacity=2048).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op5_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pseudo-likelihood of every document."""
+    from moneytrail.llm.masked_lm import score_documents
+    return score_documents(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
