@@ -209,3 +209,11 @@ def op5_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pseudo-likelihood of every document."""
     from moneytrail.llm.masked_lm import score_documents
     return score_documents(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without 100-byte strings that start earlier."""
+    from moneytrail.llm.suffix_dedup import byte_dedup
+    return byte_dedup(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
