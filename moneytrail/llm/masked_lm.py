@@ -178,8 +178,11 @@ def averaged(learned: DataFrame) -> np.ndarray | None:
 def train(ids: DataFrame, classes: int = 128, width: int = 16, rate: float = 0.1, rounds: int = 1) -> Model:
     """Counts all words and trains on all documents: every task on its own share, from the same start, and the weights
     are averaged after each round."""
-    class_of, log_share = classes_of(bucket_counts(ids), classes)
+    counts = bucket_counts(ids)
+    class_of, log_share = classes_of(counts, classes)
     weights = first_weights(classes, width)
+    # the network starts from the frequencies and learns what the context adds
+    weights[3] = np.log(np.bincount(class_of, counts + 1.0, classes) / (counts + 1.0).sum()).astype(np.float32)
     for _ in range(rounds):
         flat = averaged(_train(ids, Model(class_of, log_share, weights), rate))
         if flat is None:
