@@ -33,6 +33,7 @@ PORTION = 8 << 20
 _SPAN = np.dtype([("name", "<u8"), ("span", "<u8"), ("doc", "<u4"), ("start", "<u4"), ("last", "<u4")])
 _SUFFIX = np.dtype([("name", "<u8"), ("check", "<u8"), ("doc", "<u4"), ("start", "<u4")])
 _CUT = np.dtype([("start", "<u4"), ("last", "<u4")])
+_PLACED = np.dtype([("doc", "<i8"), ("start", "<u4"), ("last", "<u4")])
 
 
 def _mix(*parts: np.ndarray) -> np.ndarray:
@@ -124,12 +125,24 @@ def _gathered(frame: pd.DataFrame, kind: np.dtype) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(rows), np.concatenate(ids)
 
 
-def _by_doc(ids: np.ndarray, cuts: np.ndarray, kind: int) -> list[tuple[int, int, bytes]]:
-    """(document, kind, spans) for every document."""
-    order = np.argsort(ids, kind="stable")
-    ids, cuts = ids[order], cuts[order]
-    ends = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1], [True]))) if len(ids) else np.array([], int)
-    return [(int(ids[s]), kind, cuts[s:e].tobytes()) for s, e in zip(ends, ends[1:])]
+def _by_stripe(ids: np.ndarray, cuts: np.ndarray, kind: int, stripes: int) -> list[tuple[int, int, bytes]]:
+    """(stripe, kind, cuts with their documents) for every stripe: a share of the documents, dealt by id."""
+    rows = np.empty(len(ids), _PLACED)
+    rows["doc"], rows["start"], rows["last"] = ids, cuts["start"], cuts["last"]
+    stripe = _mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(stripes)
+    order = np.argsort(stripe, kind="stable")
+    rows, stripe = rows[order], stripe[order]
+    ends = np.flatnonzero(np.concatenate(([True], stripe[1:] != stripe[:-1], [True]))) if len(rows) else np.array([], int)
+    return [(int(stripe[s]), kind, rows[s:e].tobytes()) for s, e in zip(ends, ends[1:])]
+
+
+def _by_doc(frame: pd.DataFrame) -> pd.DataFrame:
+    """A row per document of a stripe, with its cuts."""
+    rows = np.concatenate([np.frombuffer(c, _PLACED) for c in frame["cuts"]])
+    rows = rows[np.argsort(rows["doc"], kind="stable")]
+    ends = np.flatnonzero(np.concatenate(([True], rows["doc"][1:] != rows["doc"][:-1], [True])))
+    return pd.DataFrame([(int(rows["doc"][s]), _cuts(rows[s:e]).tobytes()) for s, e in zip(ends, ends[1:])],
+                        columns=["_doc", "cuts"])
 
 
 def _cuts(rows: np.ndarray) -> np.ndarray:
@@ -138,9 +151,9 @@ def _cuts(rows: np.ndarray) -> np.ndarray:
     return found
 
 
-COPY, OPEN = 0, 1
-_DEALT = "bucket int, ids binary, rows binary, doc bigint, kind int, cuts binary"
-_FOUND = "doc bigint, kind int, cuts binary"
+COPY, OPEN, SPANS = 0, 1, 2
+_DEALT = "bucket int, kind int, ids binary, rows binary"
+_FOUND = "stripe int, kind int, cuts binary"
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -160,23 +173,27 @@ def _sampled(buckets: int):
             spans = np.concatenate(each)
             order, first = _first_of(spans, ["name", "span"], [ids[spans["doc"]], spans["start"]])
             copies = spans[order[~first]]
-            out = [(b, i, r, None, None, None) for b, i, r in _dealt(spans[order[first]], ids, buckets, _SPAN)]
-            out += [(None, None, None, *x) for x in _by_doc(ids[copies["doc"]], _cuts(copies), COPY)]
+            out = [(b, SPANS, i, r) for b, i, r in _dealt(spans[order[first]], ids, buckets, _SPAN)]
+            # copies take the way of the spans, in the bucket whose number their stripe has
+            out += [(stripe, COPY, b"", cuts) for stripe, _, cuts in _by_stripe(ids[copies["doc"]], _cuts(copies), COPY, buckets)]
             yield _batch(out, _DEALT)
     return run
 
 
-def _spans_met(frame: pd.DataFrame) -> pd.DataFrame:
+def _spans_met(frame: pd.DataFrame, stripes: int) -> pd.DataFrame:
     """Copies, and the first spans of names that have several."""
-    rows, ids = _gathered(frame, _SPAN)
-    order, first = _first_of(rows, ["name", "span"], [ids, rows["start"]])
-    rows, ids = rows[order], ids[order]
-    found = _by_doc(ids[~first], _cuts(rows[~first]), COPY)
-    rows, ids = rows[first], ids[first]
-    _, at, counts = np.unique(rows["name"], return_inverse=True, return_counts=True)
-    several = counts[at] > 1
-    found += _by_doc(ids[several], _cuts(rows[several]), OPEN)
-    return pd.DataFrame(found, columns=["doc", "kind", "cuts"])
+    spans = frame[frame["kind"] == SPANS]
+    found = [(int(b), COPY, c) for b, c in frame.loc[frame["kind"] == COPY, ["bucket", "rows"]].itertuples(index=False)]
+    if len(spans):
+        rows, ids = _gathered(spans, _SPAN)
+        order, first = _first_of(rows, ["name", "span"], [ids, rows["start"]])
+        rows, ids = rows[order], ids[order]
+        found += _by_stripe(ids[~first], _cuts(rows[~first]), COPY, stripes)
+        rows, ids = rows[first], ids[first]
+        _, at, counts = np.unique(rows["name"], return_inverse=True, return_counts=True)
+        several = counts[at] > 1
+        found += _by_stripe(ids[several], _cuts(rows[several]), OPEN, stripes)
+    return pd.DataFrame(found, columns=["stripe", "kind", "cuts"])
 
 
 def _suffixes(buckets: int):
@@ -186,7 +203,7 @@ def _suffixes(buckets: int):
             ids = np.array([d for _, d, _ in portion], "<i8")
             each = []
             for k, (text, _, cuts) in enumerate(portion):
-                open_ = np.frombuffer(b"".join(cuts), _CUT)
+                open_ = np.frombuffer(cuts, _CUT)
                 counts = open_["last"].astype(np.int64) - open_["start"] + 1
                 at = np.repeat(open_["start"].astype(np.int64) - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
                 names = Names(text)
@@ -199,18 +216,18 @@ def _suffixes(buckets: int):
     return run
 
 
-def _suffixes_met(frame: pd.DataFrame) -> pd.DataFrame:
+def _suffixes_met(frame: pd.DataFrame, stripes: int) -> pd.DataFrame:
     """Sorted by name and place, a suffix is a copy if the one before it is the same."""
     rows, ids = _gathered(frame, _SUFFIX)
     order, first = _first_of(rows, ["name", "check"], [ids, rows["start"]])
     later = order[~first]
-    return pd.DataFrame(_by_doc(ids[later], _cuts(rows[later]), COPY), columns=["doc", "kind", "cuts"])
+    return pd.DataFrame(_by_stripe(ids[later], _cuts(rows[later]), COPY, stripes), columns=["stripe", "kind", "cuts"])
 
 
-def kept_bytes(text: bytes, cuts: list[bytes]) -> tuple[bytes, int, int]:
+def kept_bytes(text: bytes, cuts: bytes) -> tuple[bytes, int, int]:
     """(what is left of the text, bytes removed, maximal removed runs)."""
     gone = np.zeros(len(text) + 1, np.int32)
-    spans = np.frombuffer(b"".join(cuts), _CUT)
+    spans = np.frombuffer(cuts, _CUT)
     np.add.at(gone, spans["start"].astype(np.int64), 1)
     np.add.at(gone, spans["last"].astype(np.int64) + LENGTH, -1)
     out = np.cumsum(gone[:-1]) > 0
@@ -219,18 +236,17 @@ def kept_bytes(text: bytes, cuts: list[bytes]) -> tuple[bytes, int, int]:
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc, kind, cuts)``: packed first and last starts of 100-byte strings that also start earlier (kind 0)."""
+    """``(_doc, cuts)``: packed first and last starts of 100-byte strings that also start earlier."""
     buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text"))
-    dealt = written(texts.select("text", "doc").mapInArrow(_sampled(buckets), _DEALT), "spans")
-    met = dealt.where("bucket IS NOT NULL").groupBy("bucket").applyInPandas(_spans_met, _FOUND)
-    met = written(met, "met")
-    open_ = met.where(F.col("kind") == OPEN).groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("cuts").alias("cuts"))
+    met = written(texts.select("text", "doc").mapInArrow(_sampled(buckets), _DEALT).groupBy("bucket").applyInPandas(
+        lambda frame: _spans_met(frame, buckets), _FOUND), "met")
+    open_ = met.where(F.col("kind") == OPEN).groupBy("stripe").applyInPandas(_by_doc, "_doc bigint, cuts binary")
     again = texts.join(open_, F.col("doc") == F.col("_doc")).select("text", "doc", "cuts")
-    merged = again.mapInArrow(_suffixes(buckets), "bucket int, ids binary, rows binary").groupBy("bucket").applyInPandas(
-        _suffixes_met, _FOUND)
-    alone = dealt.where("bucket IS NULL").select("doc", "kind", "cuts")
-    return alone.union(met.where(F.col("kind") == COPY)).union(written(merged, "merged"))
+    merged = written(again.mapInArrow(_suffixes(buckets), "bucket int, ids binary, rows binary").groupBy("bucket").applyInPandas(
+        lambda frame: _suffixes_met(frame, buckets), _FOUND), "merged")
+    copies = met.where(F.col("kind") == COPY).union(merged)
+    return copies.groupBy("stripe").applyInPandas(_by_doc, "_doc bigint, cuts binary")
 
 
 def byte_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -241,7 +257,7 @@ def byte_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Null and short texts lose nothing, nor do rows with a null id, which have no place in the order. Ids should be
     unique: rows that share one are a single place, and a row loses what any row of its id has to.
     """
-    cuts = repeated_spans(docs, id_col, text_col).groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("cuts").alias("cuts"))
+    cuts = repeated_spans(docs, id_col, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     joined = rows.join(cuts, F.col("id") == F.col("_doc"), "left").select("text", "id", "cuts")
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
