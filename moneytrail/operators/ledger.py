@@ -30,7 +30,7 @@ def account_ledger(df: DataFrame) -> DataFrame:
 def balances(accounts: DataFrame, ledger: DataFrame) -> DataFrame:
     """Opening balance plus the net of the account's ledger."""
     net = ledger.groupBy(F.col("account").alias("account_number")).agg(F.sum("signed_cents").alias("net_cents"))
-    opening = (F.col("balance") * 100).cast("long")
+    opening = F.round(F.col("balance") * 100).cast("long")
     return accounts.join(net, "account_number", "left").select(
         "account_number", opening.alias("opening_cents"), F.coalesce("net_cents", F.lit(0)).alias("net_cents"),
         (opening + F.coalesce("net_cents", F.lit(0))).alias("balance_cents"))

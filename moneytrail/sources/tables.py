@@ -11,7 +11,7 @@ from moneytrail.sources.schema import DEFAULTS, TABLES, conform_schema
 def with_clock(df: DataFrame) -> DataFrame:
     """Add what the window operators order and sum by: ``ts_us`` (epoch microseconds) and ``cents`` (BIGINT)."""
     return df.withColumns({"ts_us": F.unix_micros(F.col("ts").cast("timestamp")),
-                           "cents": (F.col("amount") * 100).cast("long")})
+                           "cents": F.round(F.col("amount") * 100).cast("long")})
 
 
 def read_table(spark: SparkSession, name: str, path: str | None = None, format: str = "parquet",
