@@ -100,9 +100,11 @@ def _metrics(m: Column) -> dict[str, Column]:
 def sketch(measured: DataFrame) -> DataFrame:
     """``(lang, source, metric, bucket, n)`` of rows (lang, source, m); rows without words have no rates and do not
     count. Partial aggregation makes a hot group as cheap as any other."""
-    entries = F.array(*[F.struct(F.lit(k).alias("metric"), v.cast("long").alias("v"))
-                        for k, v in _metrics(F.col("m")).items()])
-    flat = measured.where("m.n_words > 0").select("lang", "source", F.explode(entries).alias("e")).select(
+    def entries(m: Column) -> Column:
+        each = F.array(*[F.struct(F.lit(k).alias("metric"), v.cast("long").alias("v")) for k, v in _metrics(m).items()])
+        return F.filter(each, lambda _: m["n_words"] > 0)
+
+    flat = measured.select("lang", "source", F.explode(let(F.col("m"), entries)).alias("e")).select(
         "lang", "source", "e.metric", "e.v")
     bits = flat.withColumn("s", F.greatest(F.lit(0), F.length(F.bin("v")) - 7))
     return bits.groupBy("lang", "source", "metric", F.expr("shiftleft(shiftright(v, s), s)").alias("bucket")).agg(
@@ -160,14 +162,18 @@ def judge(measured: DataFrame, limit: DataFrame) -> DataFrame:
     cut = limit.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"),
                        F.struct(*_limit_columns()).alias("_cut"))
     joined = measured.join(cut, F.expr("lang <=> _lang AND source <=> _source"), "left")
-    metrics = _metrics(F.col("m"))
-    outside = F.lit(False)
-    for r in RULES:
-        if r.low:
-            outside = outside | (metrics[r.metric] < F.col("_cut")[f"{r.metric}_low"])
-        if r.high:
-            outside = outside | (metrics[r.metric] > F.col("_cut")[f"{r.metric}_high"])
-    kept = ~F.col("m.base_failed") & ~F.coalesce(outside, F.lit(False))
+
+    def verdict(m: Column) -> Column:
+        metrics, outside = _metrics(m), F.lit(False)
+        for r in RULES:
+            if r.low:
+                outside = outside | (metrics[r.metric] < F.col("_cut")[f"{r.metric}_low"])
+            if r.high:
+                outside = outside | (metrics[r.metric] > F.col("_cut")[f"{r.metric}_high"])
+        return ~m["base_failed"] & ~F.coalesce(outside, F.lit(False))
+
+    # ``m`` is named once, so that the optimizer cannot copy its measuring into every comparison
+    kept = let(F.col("m"), verdict)
     return joined.withColumn("kept", kept).drop("_lang", "_source", "_cut")
 
 
