@@ -33,9 +33,9 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same transactions as a stream over the events file."""
+    """The same transactions as a stream over the events table, a file or a folder of part files."""
     schema = _table(spark, sf_dir, "events").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    raw = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
     return from_events(raw)
 
 
