@@ -4,7 +4,7 @@ import corpus_pipeline as pipeline
 from moneytrail.llm.common import table, written
 from moneytrail.llm.line_runs import line_dedup
 from moneytrail.llm.mixing import mix
-from moneytrail.llm.near_dedup import near_duplicates
+from moneytrail.llm.near_shingles import similar_documents
 from moneytrail.llm.quality import quality_report
 
 
@@ -19,7 +19,7 @@ def test_stages(spark, tiny):
     assert {(r.doc_id, r.text) for r in cleaned.collect()} == {(r.doc_id, r.text) for r in line_dedup(good).collect()}
     one = written(pipeline.near(spark, cleaned, tiny), "near")
     assert one.columns == columns
-    assert ids(one) == sorted({r.component for r in near_duplicates(cleaned).collect()})
+    assert ids(one) == sorted({r.component for r in similar_documents(cleaned).collect()})
     mixed = written(pipeline.mixed(spark, one, tiny), "mixed")
     assert mixed.columns == columns and ids(mixed) == ids(one)
     slots = {r.doc_id: (r.mixed.slot, r.mixed.place) for r in mix(one).collect()}
