@@ -192,12 +192,10 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def quality_filter(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with its columns only. Whole texts are measured twice, once for the
-    sketches and once where they are filtered, so that no text is shuffled."""
-    def measured(whole: Column) -> DataFrame:
-        return docs.select(F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), whole,
-                           measure(F.col(text_col)).alias("m"))
-
-    cut = written(limits(sketch(measured(F.lit(0).alias("row")))), "limits")
-    kept = judge(measured(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), cut).where("kept")
-    return kept.select("row.*")
+    """The rows of ``docs`` that the rules keep, with its columns only. Texts are measured once and written beside what
+    was measured, so that the second pass neither measures nor shuffles them."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = written(docs.select(F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), row,
+                               measure(F.col(text_col)).alias("m")), "measured")
+    cut = written(limits(sketch(rows)), "limits")
+    return judge(rows, cut).where("kept").select("row.*")
