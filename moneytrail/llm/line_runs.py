@@ -69,10 +69,10 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                          F.array(*full).alias("_full"), F.array(*back).alias("_back"))
     # repeated rows of one document stand at equal positions, so a run without gaps has at least as many rows as lines
     distinct = sized.dropDuplicates(["id", "h", "at"])
-    spans = distinct.select("id", "h", F.explode(F.array(
+    spans = written(distinct.select("id", "h", F.explode(F.array(
         F.struct(F.col("at").alias("at"), F.col("forth").alias("size")),
         F.struct((F.col("at") - F.col("backward") + 1).alias("at"), F.col("backward").alias("size")))).alias("s")).select(
-        "id", "h", "s.at", "s.size").where("size > 0").distinct()
+        "id", "h", "s.at", "s.size").where("size > 0").distinct(), "spans")
 
     names = lines.select("id", "h", "at", "n0").dropDuplicates(["id", "h", "at"])
     level, found = 0, []
@@ -84,7 +84,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         right = names.select("id", "h", F.col("at").alias("_to"), F.col("n0").alias("r"))
         both = left.withColumn("_to", F.col("at") + F.col("size") - step).join(right, ["id", "h", "_to"]).drop("_to")
         first = _named(both, ["size", "l", "r"], "n")
-        found.append(first.where(F.struct("id", "h", "at") != F.col("n")).select("id", "h", "at", "size"))
+        found.append(written(first.where(F.struct("id", "h", "at") != F.col("n")).select("id", "h", "at", "size"), "found"))
         if 2 * step > min_words:
             break
         pairs = names.withColumn("n1", ahead("n0", step)).where("n1 IS NOT NULL")
