@@ -33,7 +33,9 @@ PORTION = 8 << 20
 _SPAN = np.dtype([("name", "<u8"), ("span", "<u8"), ("doc", "<u4"), ("start", "<u4"), ("last", "<u4")])
 _SUFFIX = np.dtype([("name", "<u8"), ("check", "<u8"), ("doc", "<u4"), ("start", "<u4")])
 _CUT = np.dtype([("start", "<u4"), ("last", "<u4")])
-_PLACED = np.dtype([("doc", "<i8"), ("start", "<u4"), ("last", "<u4")])
+#: A text's place among the others: rows of one id are told apart by the hashes of their texts.
+_TEXT = np.dtype([("doc", "<i8"), ("hash", "<i8")])
+_PLACED = np.dtype([*_TEXT.descr, ("start", "<u4"), ("last", "<u4")])
 
 
 def _mix(*parts: np.ndarray) -> np.ndarray:
@@ -76,14 +78,22 @@ class Names:
         return found
 
 
-def _first_of(rows: np.ndarray, keys: list[str], places: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(order by keys and places, which of the ordered rows begin a group of equal keys)."""
+def _first_of(rows: np.ndarray, keys: list[str], texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order by keys and places, which of the ordered rows begin a group of equal keys, which are later copies): a row
+    at the place of the first of its group is that first once more, from a repeated row, and no copy of it."""
+    places = [texts["doc"], texts["hash"], rows["start"]]
     order = np.lexsort([*places[::-1], *(rows[k] for k in keys[::-1])])
     same = np.ones(max(0, len(rows) - 1), bool)
     for k in keys:
         column = rows[k][order]
         same &= column[1:] == column[:-1]
-    return order, np.concatenate((np.ones(min(1, len(rows)), bool), ~same))
+    first = np.concatenate((np.ones(min(1, len(rows)), bool), ~same))
+    begin = np.maximum.accumulate(np.where(first, np.arange(len(rows)), 0))
+    copy = np.zeros(len(rows), bool)
+    for place in places:
+        ordered = place[order]
+        copy |= ordered != ordered[begin]
+    return order, first, copy
 
 
 def _portions(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[list[tuple]]:
@@ -116,20 +126,20 @@ def _dealt(rows: np.ndarray, ids: np.ndarray, buckets: int, kind: np.dtype) -> I
 
 
 def _gathered(frame: pd.DataFrame, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, document id of each) of the parts of a bucket."""
+    """(rows, text of each) of the parts of a bucket."""
     rows, ids = [], []
     for raw, known in zip(frame["rows"], frame["ids"]):
         part = np.frombuffer(raw, kind)
         rows.append(part)
-        ids.append(np.frombuffer(known, "<i8")[part["doc"]])
+        ids.append(np.frombuffer(known, _TEXT)[part["doc"]])
     return np.concatenate(rows), np.concatenate(ids)
 
 
 def _by_stripe(ids: np.ndarray, cuts: np.ndarray, kind: int, stripes: int) -> list[tuple[int, int, bytes]]:
-    """(stripe, kind, cuts with their documents) for every stripe: a share of the documents, dealt by id."""
+    """(stripe, kind, cuts with their texts) for every stripe: a share of the documents, dealt by id."""
     rows = np.empty(len(ids), _PLACED)
-    rows["doc"], rows["start"], rows["last"] = ids, cuts["start"], cuts["last"]
-    stripe = _mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(stripes)
+    rows["doc"], rows["hash"], rows["start"], rows["last"] = ids["doc"], ids["hash"], cuts["start"], cuts["last"]
+    stripe = _mix(ids["doc"].astype(np.int64).view(np.uint64)) % np.uint64(stripes)
     order = np.argsort(stripe, kind="stable")
     rows, stripe = rows[order], stripe[order]
     ends = np.flatnonzero(np.concatenate(([True], stripe[1:] != stripe[:-1], [True]))) if len(rows) else np.array([], int)
@@ -137,12 +147,13 @@ def _by_stripe(ids: np.ndarray, cuts: np.ndarray, kind: int, stripes: int) -> li
 
 
 def _by_doc(frame: pd.DataFrame) -> pd.DataFrame:
-    """A row per document of a stripe, with its cuts."""
+    """A row per text of a stripe, with its cuts."""
     rows = np.concatenate([np.frombuffer(c, _PLACED) for c in frame["cuts"]])
-    rows = rows[np.argsort(rows["doc"], kind="stable")]
-    ends = np.flatnonzero(np.concatenate(([True], rows["doc"][1:] != rows["doc"][:-1], [True])))
-    return pd.DataFrame([(int(rows["doc"][s]), _cuts(rows[s:e]).tobytes()) for s, e in zip(ends, ends[1:])],
-                        columns=["_doc", "cuts"])
+    rows = rows[np.lexsort([rows["hash"], rows["doc"]])]
+    other = (rows["doc"][1:] != rows["doc"][:-1]) | (rows["hash"][1:] != rows["hash"][:-1])
+    ends = np.flatnonzero(np.concatenate(([True], other, [True])))
+    return pd.DataFrame([(int(rows["doc"][s]), int(rows["hash"][s]), _cuts(rows[s:e]).tobytes()) for s, e in zip(ends, ends[1:])],
+                        columns=["_doc", "_hash", "cuts"])
 
 
 def _cuts(rows: np.ndarray) -> np.ndarray:
@@ -166,13 +177,13 @@ def _sampled(buckets: int):
     """Deals the spans of all texts; of equal spans in one portion only the first, the others are copies already."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for portion in _portions(batches, "text"):
-            ids = np.array([d for _, d in portion], "<i8")
-            each = [Names(t).spans(k) for k, (t, _) in enumerate(portion) if len(t) >= LENGTH]
+            ids = np.array([(d, h) for _, d, h in portion], _TEXT)
+            each = [Names(t).spans(k) for k, (t, *_) in enumerate(portion) if len(t) >= LENGTH]
             if not each:
                 continue
             spans = np.concatenate(each)
-            order, first = _first_of(spans, ["name", "span"], [ids[spans["doc"]], spans["start"]])
-            copies = spans[order[~first]]
+            order, first, copy = _first_of(spans, ["name", "span"], ids[spans["doc"]])
+            copies = spans[order[copy]]
             out = [(b, SPANS, i, r) for b, i, r in _dealt(spans[order[first]], ids, buckets, _SPAN)]
             # copies take the way of the spans, in the bucket whose number their stripe has
             out += [(stripe, COPY, b"", cuts) for stripe, _, cuts in _by_stripe(ids[copies["doc"]], _cuts(copies), COPY, buckets)]
@@ -186,9 +197,9 @@ def _spans_met(frame: pd.DataFrame, stripes: int) -> pd.DataFrame:
     found = [(int(b), COPY, c) for b, c in frame.loc[frame["kind"] == COPY, ["bucket", "rows"]].itertuples(index=False)]
     if len(spans):
         rows, ids = _gathered(spans, _SPAN)
-        order, first = _first_of(rows, ["name", "span"], [ids, rows["start"]])
+        order, first, copy = _first_of(rows, ["name", "span"], ids)
         rows, ids = rows[order], ids[order]
-        found += _by_stripe(ids[~first], _cuts(rows[~first]), COPY, stripes)
+        found += _by_stripe(ids[copy], _cuts(rows[copy]), COPY, stripes)
         rows, ids = rows[first], ids[first]
         _, at, counts = np.unique(rows["name"], return_inverse=True, return_counts=True)
         several = counts[at] > 1
@@ -200,9 +211,9 @@ def _suffixes(buckets: int):
     """Deals the suffixes of open spans by the name of their 100 bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for portion in _portions(batches, "text"):
-            ids = np.array([d for _, d, _ in portion], "<i8")
+            ids = np.array([(d, h) for _, d, h, _ in portion], _TEXT)
             each = []
-            for k, (text, _, cuts) in enumerate(portion):
+            for k, (text, *_, cuts) in enumerate(portion):
                 open_ = np.frombuffer(cuts, _CUT)
                 counts = open_["last"].astype(np.int64) - open_["start"] + 1
                 at = np.repeat(open_["start"].astype(np.int64) - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
@@ -217,10 +228,10 @@ def _suffixes(buckets: int):
 
 
 def _suffixes_met(frame: pd.DataFrame, stripes: int) -> pd.DataFrame:
-    """Sorted by name and place, a suffix is a copy if the one before it is the same."""
+    """Sorted by name and place, a suffix is a copy if the first of the same name is at another place."""
     rows, ids = _gathered(frame, _SUFFIX)
-    order, first = _first_of(rows, ["name", "check"], [ids, rows["start"]])
-    later = order[~first]
+    order, _, copy = _first_of(rows, ["name", "check"], ids)
+    later = order[copy]
     return pd.DataFrame(_by_stripe(ids[later], _cuts(rows[later]), COPY, stripes), columns=["stripe", "kind", "cuts"])
 
 
@@ -236,17 +247,24 @@ def kept_bytes(text: bytes, cuts: bytes) -> tuple[bytes, int, int]:
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(_doc, cuts)``: packed first and last starts of 100-byte strings that also start earlier."""
+    """``(_doc, _hash, cuts)``: packed first and last starts of 100-byte strings that also start earlier, for the text of
+    this hash in the rows of this id."""
     buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text"))
-    met = written(texts.select("text", "doc").mapInArrow(_sampled(buckets), _DEALT).groupBy("bucket").applyInPandas(
+    texts = _texts(docs, id_col, text_col).where("doc IS NOT NULL")
+    met = written(texts.mapInArrow(_sampled(buckets), _DEALT).groupBy("bucket").applyInPandas(
         lambda frame: _spans_met(frame, buckets), _FOUND), "met")
-    open_ = met.where(F.col("kind") == OPEN).groupBy("stripe").applyInPandas(_by_doc, "_doc bigint, cuts binary")
-    again = texts.join(open_, F.col("doc") == F.col("_doc")).select("text", "doc", "cuts")
+    by_text = "_doc bigint, _hash bigint, cuts binary"
+    open_ = met.where(F.col("kind") == OPEN).groupBy("stripe").applyInPandas(_by_doc, by_text)
+    again = texts.join(open_, F.expr("doc = _doc AND hash = _hash")).select("text", "doc", "hash", "cuts")
     merged = written(again.mapInArrow(_suffixes(buckets), "bucket int, ids binary, rows binary").groupBy("bucket").applyInPandas(
         lambda frame: _suffixes_met(frame, buckets), _FOUND), "merged")
     copies = met.where(F.col("kind") == COPY).union(merged)
-    return copies.groupBy("stripe").applyInPandas(_by_doc, "_doc bigint, cuts binary")
+    return copies.groupBy("stripe").applyInPandas(_by_doc, by_text)
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("binary")
+    return docs.select(text.alias("text"), F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("hash"))
 
 
 def byte_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -254,12 +272,12 @@ def byte_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     those that lie in a 100-byte string that also starts earlier: in a row with a smaller whole-number id, or earlier in
     the same one.
 
-    Null and short texts lose nothing, nor do rows with a null id, which have no place in the order. Ids should be
-    unique: rows that share one are a single place, and a row loses what any row of its id has to.
+    Null and short texts lose nothing, nor do rows with a null id, which have no place in the order. Rows that share id
+    and text are a single place and lose nothing to each other; rows that share only the id are in the order of the
+    hashes of their texts.
     """
     cuts = repeated_spans(docs, id_col, text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    joined = rows.join(cuts, F.col("id") == F.col("_doc"), "left").select("text", "id", "cuts")
+    joined = _texts(docs, id_col, text_col).join(cuts, F.expr("doc = _doc AND hash = _hash"), "left").select("text", "doc", "cuts")
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     names = ["id", "n_bytes", "n_removed", "n_spans", "kept"]
 
