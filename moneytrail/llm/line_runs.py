@@ -55,26 +55,21 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the shortest runs of enough words that begin, or end, at each of its lines, and such a run has ``min_words`` lines at
     most; so the doubling ends after log2(min_words) rounds, whatever the length of the maximal runs.
     """
-    lines = _named(_positions(docs, id_col, text_col), ["a", "b"], "n0").drop("a", "b")
-    lines = written(lines, "lines")
+    # repeated rows of one document stand at equal positions: each counts once
+    lines = written(_named(_positions(docs, id_col, text_col), ["a", "b"], "n0").drop("a", "b").distinct(), "lines")
     own = Window.partitionBy("id", "h").orderBy("at")
     ahead = lambda column, steps: F.first(column).over(own.rangeBetween(steps, steps))
 
     words_to = [F.sum("words").over(own.rangeBetween(0, k)) for k in range(min_words)]
     words_from = [F.sum("words").over(own.rangeBetween(-k, 0)) for k in range(min_words)]
-    full = [F.count("*").over(own.rangeBetween(0, k)) for k in range(min_words)]
-    back = [F.count("*").over(own.rangeBetween(-k, 0)) for k in range(min_words)]
     shortest = lambda sums: F.array_position(F.array(*[s >= min_words for s in sums]), True).cast("int")
-    sized = lines.select("*", shortest(words_to).alias("forth"), shortest(words_from).alias("backward"),
-                         F.array(*full).alias("_full"), F.array(*back).alias("_back"))
-    # repeated rows of one document stand at equal positions, so a run without gaps has at least as many rows as lines
-    distinct = sized.dropDuplicates(["id", "h", "at"])
-    spans = written(distinct.select("id", "h", F.explode(F.array(
+    sized = lines.select("*", shortest(words_to).alias("forth"), shortest(words_from).alias("backward"))
+    spans = written(sized.select("id", "h", F.explode(F.array(
         F.struct(F.col("at").alias("at"), F.col("forth").alias("size")),
         F.struct((F.col("at") - F.col("backward") + 1).alias("at"), F.col("backward").alias("size")))).alias("s")).select(
         "id", "h", "s.at", "s.size").where("size > 0").distinct(), "spans")
 
-    names = lines.select("id", "h", "at", "n0").dropDuplicates(["id", "h", "at"])
+    names = lines.select("id", "h", "at", "n0")
     level, found = 0, []
     while True:
         step = 1 << level

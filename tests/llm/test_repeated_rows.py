@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from moneytrail.llm.line_runs import line_dedup
 from moneytrail.llm.suffix_dedup import byte_dedup
 
 LONG = " ".join(f"word{i}" for i in range(60))
@@ -27,3 +28,11 @@ def test_bytes_of_repeated_rows(spark):
     kept = sorted((r.id, bytes(r.kept)) for r in got if r.id is not None)
     assert kept == sorted((i, want[i, t]) for i, t in rows * 2 if i is not None)
     assert [bytes(r.kept) for r in got if r.id is None] == [LONG.encode()] * 2
+
+
+def test_short_lines_of_repeated_rows(spark):
+    shared, own = "red fox ran home\nblue hen sat down", "one more line here"
+    docs = spark.createDataFrame([(1, shared), (2, shared + "\n" + own), (2, shared + "\n" + own), (3, own), (3, own)],
+                                 "doc_id long, text string")
+    got = sorted((r.doc_id, r.text) for r in line_dedup(docs).collect())
+    assert got == [(1, shared), (2, own), (2, own), (3, own), (3, own)]
