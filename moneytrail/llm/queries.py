@@ -217,3 +217,79 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from moneytrail.llm.suffix_dedup import byte_dedup
     return byte_dedup(table(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes at each step of every order, per source, and its exact share."""
+    from moneytrail.llm.filter_audit import audit, failures
+    return audit(failures(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+ORACLE["op11_filter_audit"] = r"""
+WITH split_up AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+    [x for x in regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> ''] AS w FROM documents),
+failing AS (
+  SELECT doc_id, part, (CASE WHEN len(w) < 50 THEN 'A' ELSE '' END) ||
+    (CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END) ||
+    (CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t) THEN 'C' ELSE '' END) ||
+    (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END) ||
+    (CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END) AS fails FROM split_up),
+marked AS (
+  SELECT f.*, coalesce(l.quality = 1, false) AS good, coalesce(l.toxic = 1, false) AS toxic FROM failing f LEFT JOIN
+    (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) l ON l.doc_id = f.doc_id),
+cells AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM marked GROUP BY part, fails),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE b.f <> a.f AND c.f NOT IN (a.f, b.f) AND d.f NOT IN (a.f, b.f, c.f) AND e.f NOT IN (a.f, b.f, c.f, d.f)),
+first_hit AS (SELECT part, fails, n, g, x, o, coalesce(list_min([instr(o, c) for c in string_split(fails, '') if c <> '']), 6) AS hit
+  FROM cells, orders),
+steps AS (SELECT o, CAST(k AS INTEGER) AS step, substr(o, CAST(k AS INTEGER), 1) AS f FROM orders, range(1, 6) AS r(k)),
+counted AS (
+  SELECT h.part, h.o AS filter_order, s.step, any_value(s.f) AS f, CAST(coalesce(sum(n) FILTER (hit > s.step), 0) AS BIGINT) AS kept,
+    CAST(coalesce(sum(n) FILTER (hit = s.step), 0) AS BIGINT) AS removed,
+    CAST(coalesce(sum(n) FILTER (contains(fails, s.f) AND hit < s.step), 0) AS BIGINT) AS redundant,
+    CAST(coalesce(sum(n) FILTER (fails = s.f), 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(sum(g) FILTER (hit = s.step), 0) AS BIGINT) AS good_lost,
+    CAST(coalesce(sum(x) FILTER (hit = s.step), 0) AS BIGINT) AS toxic_lost
+  FROM first_hit h JOIN steps s ON s.o = h.o GROUP BY h.part, h.o, s.step)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM counted"""
+
+
+@query
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best collocations of every language."""
+    from moneytrail.llm.phrases import collocations
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op12_phrases"] = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, [x for x in regexp_split_to_array(p, '[\x20\x09]+') if x <> ''] AS w FROM pieces),
+grams AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS g FROM w, unnest(range(1, 6)) AS s(m), unnest(range(1, len(w) - m + 2)) AS u(i)),
+f AS (SELECT lang, m, g, count(*) AS f FROM grams GROUP BY lang, m, g HAVING count(*) >= 100),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+c AS (SELECT lang, m, g, f AS a, string_split(g, ' ') AS w FROM f WHERE m > 1),
+cuts AS (SELECT c.lang, c.g, c.a, k, l.f AS l, r.f AS r, t.n,
+    (1000::HUGEINT * a * t.n) // (l.f::HUGEINT * r.f) AS score
+  FROM c, unnest(range(1, m)) AS s(k) JOIN totals t ON t.lang = c.lang JOIN f l ON l.lang = c.lang AND l.g = array_to_string(c.w[1:k], ' ')
+  JOIN f r ON r.lang = c.lang AND r.g = array_to_string(c.w[k + 1:], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inside AS (SELECT lang, array_to_string(w[i:i + j - 1], ' ') AS g, max(a) AS a
+  FROM c, unnest(range(2, m)) AS s(j), unnest(range(1, m - j + 2)) AS u(i) GROUP BY ALL),
+ranked AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, encode(b.g)) AS rank
+  FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.g = b.g WHERE i.a IS NULL OR 100 * i.a < 100 * b.a)
+SELECT lang, rank, g AS phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000"""
+
+
+@query
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard and slot of every document in 24 shards of nearly equal bytes, equal texts together."""
+    from moneytrail.llm.sharding import shard_index
+    return shard_index(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
