@@ -120,12 +120,12 @@ class _Block:
         self.length += len(tokens)
 
 
-def _slices(text: str) -> Iterator[list[bytes]]:
+def _slices(text: str, portion: int) -> Iterator[list[bytes]]:
     """The words of a text in portions of bounded size, ``.`` for the end of a piece; no portion ends inside a word."""
     data = text.encode("utf-8", "surrogatepass").lower().translate(_TO_ENDS)
     at = 0
     while at < len(data):
-        end = at + BLOCK_BYTES
+        end = at + portion
         if end < len(data):
             cut = max(data.rfind(b" ", at, end), data.rfind(b".", at, end))
             if cut < at:
@@ -136,16 +136,16 @@ def _slices(text: str) -> Iterator[list[bytes]]:
         at = end
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[tuple[list, np.ndarray, int]]:
+def _blocks(batches: Iterator[pa.RecordBatch], reach: int, most: int, portion: int) -> Iterator[tuple[list, np.ndarray, int]]:
     """``(names, numbers, starts)``: blocks of words of which the first ``starts`` positions are not in any other block; the
     ``reach`` words after them are there to complete what begins before."""
     block = _Block()
     for batch in batches:
         for k in range(batch.num_rows):
             lang, text = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
-            for tokens in _slices(text or ""):
+            for tokens in _slices(text or "", portion):
                 block.add(lang, tokens)
-                if block.length >= BLOCK_WORDS:
+                if block.length >= most + reach:
                     numbers = np.concatenate(block.parts)
                     yield block.names, numbers, len(numbers) - reach
                     rest = [block.names[i] for i in numbers[len(numbers) - reach:]] if reach else []
@@ -207,11 +207,12 @@ def _schema(depth: int) -> str:
 def _suffixes(texts: DataFrame, depth: int, frequent: list[np.ndarray]) -> DataFrame:
     """Suffixes of up to ``depth`` words with their number in each block; ``frequent`` holds the bitmap of the words, then that of
     the pairs, as far as they are known. With pairs, suffixes of fewer than two words are left out."""
+    bounds = BLOCK_WORDS, BLOCK_BYTES
     shared = [texts.sparkSession.sparkContext.broadcast(b) for b in frequent]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [b.value for b in shared]
-        for names, numbers, starts in _blocks(batches, MAX_WORDS - 1):
+        for names, numbers, starts in _blocks(batches, MAX_WORDS - 1, *bounds):
             if not known:
                 tally = np.bincount(numbers[:starts], minlength=len(names))
                 tally[0] = 0
