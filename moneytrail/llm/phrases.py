@@ -1,10 +1,10 @@
 """Phrases that occur more often than their parts would by chance, from sorted suffix pointers.
 
-A phrase is frequent only if all its words and all its neighbouring pairs are, so three passes over the texts narrow what
-is sorted: counts of words, counts of pairs of frequent words, and suffixes of up to ``MAX_WORDS`` words that begin at a
-frequent pair and end before the first pair that is not. Tasks know the frequent words and pairs by a bitmap of ``BITS`` bits
-of their hashes. Its size does not depend on the corpus: a foreign word that meets a bit by chance costs work and is counted
-and dropped like any other.
+A phrase is frequent only if all its words, pairs and triples are, so passes over the texts narrow what is sorted: exact
+counts of words, counts of the hashes of pairs of frequent words, then of triples of frequent pairs, and at last the
+suffixes of up to ``MAX_WORDS`` words that begin at a frequent pair and end where a triple is not. Tasks know what is frequent
+by bitmaps of ``BITS`` bits of the hashes. Their size does not depend on the corpus: what meets a bit by chance costs work
+and is counted in words and dropped like any other, and nothing frequent is lost.
 
 Suffixes are routed by their leading words into ranges, and every range is sorted by multikey quicksort: pointers are
 parted in three by one word, the middle part goes on with the next word, and its size is the count of the words so far. A
@@ -174,14 +174,25 @@ def _has(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 != 0
 
 
-def _pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return a ^ ((b << np.uint64(1)) | (b >> np.uint64(63)))
+def _alive(numbers: np.ndarray, names: list, known: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For runs of 1, 2, ... words, by the position of their first: their hashes, and whether bitmaps have them and all
+    their parts. The last run is one word longer than the bitmaps say and is alive if its parts are."""
+    own = _hashes(names)
+    runs, alive = [own[numbers]], [(_has(known[0], own) & (np.arange(len(names)) > 0))[numbers]]
+    for m in range(1, len(known) + 1):
+        # the next word's hash, turned by its place in the run
+        turned = (runs[0] << np.uint64(m)) | (runs[0] >> np.uint64(64 - m))
+        runs.append(runs[-1][:-1] ^ turned[m:])
+        alive.append(alive[-1][:-1] & alive[-1][1:])
+        if m < len(known):
+            at = np.where(alive[m])[0]
+            alive[m][at] = _has(known[m], runs[m][at])
+    return runs, alive
 
 
 def _bitmap(keys: DataFrame, value: Column) -> np.ndarray:
     """A bitmap of ``BITS`` bits over the hashes ``value`` of all ``keys``; that size is all that reaches the driver."""
-    at = F.col("h").bitwiseAND(F.lit(BITS - 1)) + 1
-    rows = keys.select(value.alias("h")).select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("b")).agg(
+    rows = keys.select((value.bitwiseAND(F.lit(BITS - 1)) + 1).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("b")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
     out = np.zeros(BITS // 8, np.uint8)
     for r in rows:
@@ -204,42 +215,58 @@ def _schema(depth: int) -> str:
     return "lang string, " + ", ".join(f"w{i + 1} string" for i in range(depth)) + ", n long"
 
 
-def _suffixes(texts: DataFrame, depth: int, frequent: list[np.ndarray]) -> DataFrame:
-    """Suffixes of up to ``depth`` words with their number in each block; ``frequent`` holds the bitmap of the words, then that of
-    the pairs, as far as they are known. With pairs, suffixes of fewer than two words are left out."""
+def _words(texts: DataFrame) -> DataFrame:
+    """The words of each block with their number."""
     bounds = BLOCK_WORDS, BLOCK_BYTES
-    shared = [texts.sparkSession.sparkContext.broadcast(b) for b in frequent]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = [b.value for b in shared]
         for names, numbers, starts in _blocks(batches, MAX_WORDS - 1, *bounds):
-            if not known:
-                tally = np.bincount(numbers[:starts], minlength=len(names))
-                tally[0] = 0
-                there = np.where(tally)[0]
-                if len(there):
-                    yield _table(names, [there], tally[there])
-                continue
-            hashes = _hashes(names)
-            alive = _has(known[0], hashes)
-            alive[0] = False
-            padded = np.concatenate([np.where(alive[numbers], numbers, 0), np.zeros(depth, np.int64)])
-            linked = (padded[:-1] != 0) & (padded[1:] != 0)          # position i goes on with i + 1
-            if len(known) > 1:
-                at = np.where(linked)[0]
-                linked[at] = _has(known[1], _pair_hash(hashes[padded[at]], hashes[padded[at + 1]]))
-            begin = np.where(linked[:starts])[0]
-            keys, on = np.zeros((len(begin), depth), np.int32), np.ones(len(begin), bool)
-            keys[:, 0] = padded[begin]
-            for d in range(1, depth):
-                on = on & linked[begin + d - 1]
+            tally = np.bincount(numbers[:starts], minlength=len(names))
+            tally[0] = 0
+            there = np.where(tally)[0]
+            if len(there):
+                yield _table(names, [there], tally[there])
+
+    return texts.mapInArrow(count, _schema(1))
+
+
+def _runs(texts: DataFrame, known: list[np.ndarray]) -> DataFrame:
+    """``(h, n)``: hashes of the runs of one word more than ``known`` has bitmaps, if their parts are known, in each block."""
+    bounds = BLOCK_WORDS, BLOCK_BYTES
+    shared = [texts.sparkSession.sparkContext.broadcast(b) for b in known]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for names, numbers, starts in _blocks(batches, MAX_WORDS - 1, *bounds):
+            runs, alive = _alive(numbers, names, [b.value for b in shared])
+            h, n = np.unique(runs[-1][:starts][alive[-1][:starts]], return_counts=True)
+            if len(h):
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+
+    return texts.mapInArrow(count, "h long, n long")
+
+
+def _suffixes(texts: DataFrame, known: list[np.ndarray]) -> DataFrame:
+    """Suffixes of two words or more with their number in each block, cut where a pair or triple is not known."""
+    bounds = BLOCK_WORDS, BLOCK_BYTES
+    shared = [texts.sparkSession.sparkContext.broadcast(b) for b in known]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for names, numbers, starts in _blocks(batches, MAX_WORDS - 1, *bounds):
+            _, alive = _alive(numbers, names, [b.value for b in shared])
+            triples = np.concatenate([alive[2], np.zeros(MAX_WORDS, bool)])
+            begin = np.where(alive[1][:starts])[0]
+            keys, on = np.zeros((len(begin), MAX_WORDS), np.int32), np.ones(len(begin), bool)
+            padded = np.concatenate([numbers, np.zeros(MAX_WORDS, np.int64)])
+            for d in range(MAX_WORDS):
+                if d > 1:
+                    on = on & triples[begin + d - 2]
                 keys[:, d] = np.where(on, padded[begin + d], 0)
             # equal suffixes of a block become one row
             at, n = multikey_sort(keys, np.ones(len(keys), np.int64), 1, False)[1]
             if len(at):
-                yield _table(names, [keys[at, d].astype(np.int64) for d in range(depth)], n)
+                yield _table(names, [keys[at, d].astype(np.int64) for d in range(MAX_WORDS)], n)
 
-    return texts.mapInArrow(count, _schema(depth))
+    return texts.mapInArrow(count, _schema(MAX_WORDS))
 
 
 def _ranges(suffixes: DataFrame, least: int) -> DataFrame:
@@ -277,15 +304,14 @@ def phrase_counts(docs: DataFrame, least: int = 100, text: str = "text", lang: s
     times, and ``(lang, total)``, the number of all its words. Texts are lower-cased in A-Z only and split into pieces at
     ``PIECE_ENDS``; occurrences overlap, but stay inside a piece. A null language is ``und``, a null text has no words."""
     texts = docs.select(F.coalesce(F.col(f"`{lang}`"), F.lit("und")).alias("lang"), F.col(f"`{text}`").alias("text"))
-    words = written(_suffixes(texts, 1, []).groupBy("lang", "w1").agg(F.sum("n").alias("n")), "words")
+    words = written(_words(texts).groupBy("lang", "w1").agg(F.sum("n").alias("n")), "words")
     totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
     words = words.where(F.col("n") >= least)
     known = [_bitmap(words, F.xxhash64("lang", "w1"))]
-    pairs = _suffixes(texts, 2, known).groupBy("lang", "w1", "w2").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    second = F.xxhash64("lang", "w2")
-    known.append(_bitmap(written(pairs, "pairs"), F.xxhash64("lang", "w1").bitwiseXOR(
-        F.shiftleft(second, 1).bitwiseOR(F.shiftrightunsigned(second, 63)))))
-    phrases = _ranges(written(_suffixes(texts, MAX_WORDS, known), "suffixes"), least)
+    for _ in range(2):
+        runs = _runs(texts, known).groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        known.append(_bitmap(runs, F.col("h")))
+    phrases = _ranges(written(_suffixes(texts, known), "suffixes"), least)
     return written(phrases.unionByName(words.select("lang", F.array("w1").alias("words"), "n")), "phrases"), totals
 
 
