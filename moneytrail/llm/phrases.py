@@ -14,6 +14,7 @@ are added up afterwards. The quicksort takes all parts of a level at once, so nu
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,8 @@ MAX_WORDS = 5
 BITS = 2 ** 25
 #: Words that a task sorts together before it hands its counts on, bytes of a text that it takes apart at once.
 BLOCK_WORDS, BLOCK_BYTES = 2_000_000, 4_000_000
+#: Distinct suffixes that a task holds at about before it hands them on.
+HELD_ROWS = 1_000_000
 #: Suffixes of a range at about.
 RANGE_ROWS = 1_000_000
 #: Buckets of phrases that are ranked before their language is.
@@ -247,7 +250,7 @@ def _runs(texts: DataFrame, known: list[np.ndarray]) -> DataFrame:
 
 def _suffixes(texts: DataFrame, known: list[np.ndarray]) -> DataFrame:
     """Suffixes of two words or more with their number in each block, cut where a pair or triple is not known."""
-    bounds = BLOCK_WORDS, BLOCK_BYTES
+    bounds, held = (BLOCK_WORDS, BLOCK_BYTES), HELD_ROWS
     shared = [texts.sparkSession.sparkContext.broadcast(b) for b in known]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +269,22 @@ def _suffixes(texts: DataFrame, known: list[np.ndarray]) -> DataFrame:
             if len(at):
                 yield _table(names, [keys[at, d].astype(np.int64) for d in range(MAX_WORDS)], n)
 
-    return texts.mapInArrow(count, _schema(MAX_WORDS))
+    return texts.mapInArrow(lambda batches: _added_up(count(batches), held), _schema(MAX_WORDS))
+
+
+def _added_up(blocks: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a task's blocks with equal suffixes as one row; about ``most`` rows are held at once."""
+    keys, held, rows = ["lang", *[f"w{i + 1}" for i in range(MAX_WORDS)]], [], 0
+    for block in itertools.chain(blocks, [None]):
+        if block is not None:
+            held.append(block)
+            rows += block.num_rows
+        if held and (block is None or rows > most):
+            total = pa.Table.from_batches(held).group_by(keys).aggregate([("n", "sum")]).rename_columns([*keys, "n"])
+            if block is None or total.num_rows > most // 2:
+                yield from total.to_batches()
+                total = total.slice(0, 0)
+            held, rows = total.to_batches(), total.num_rows
 
 
 def _ranges(suffixes: DataFrame, least: int) -> DataFrame:

@@ -135,7 +135,7 @@ def test_phrases_of_random_texts(spark, monkeypatch):
     got = sorted(tuple(x) for x in phrases.collocations(df, least=20).collect())
     assert got == want[20]
     # many small blocks and ranges
-    for name, value in (("BLOCK_WORDS", 50), ("BLOCK_BYTES", 40), ("RANGE_ROWS", 60)):
+    for name, value in (("BLOCK_WORDS", 50), ("BLOCK_BYTES", 40), ("RANGE_ROWS", 60), ("HELD_ROWS", 30)):
         monkeypatch.setattr(phrases, name, value)
     got = sorted(tuple(x) for x in phrases.collocations(df, least=5).collect())
     assert got == want[5]
