@@ -35,7 +35,8 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same transactions as a stream over the events table, a file or a folder of part files."""
     schema = _table(spark, sf_dir, "events").schema
-    raw = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    # a pattern that only this name matches: the source takes a file only by a pattern
+    raw = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
     return from_events(raw)
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from moneytrail.operators import adaptive, profiles, rules
 from moneytrail.sources import events, tables, views
 from moneytrail.sources.schema import DEFAULTS, TABLES, conform_schema
-from moneytrail.streaming import jobs
+from moneytrail.streaming import jobs, log
 
 
 def test_batches_see_history(spark, tiny, tx, tmp_path):
@@ -20,13 +20,73 @@ def test_batches_see_history(spark, tiny, tx, tmp_path):
     q = jobs.stream_score(stream, tx.where(F.col("ts_us") <= cut), accounts, watch, out, str(tmp_path / "cp"),
                           pairs=names)
     q.awaitTermination()
-    got = spark.read.parquet(out).select("id", F.size(F.filter("rules", lambda h: h["rule_id"] != "SCREENING")).alias(
+    got = spark.read.parquet(out + "/scored").select("id", F.size(F.filter("rules", lambda h: h["rule_id"] != "SCREENING")).alias(
         "n"))
     want = rules.assess_rules(tx).where(F.col("ts_us") > cut).select("id", F.size("rules").alias("n"))
     assert got.exceptAll(want).count() == 0 and got.count() == want.count()
+    counted = log.BatchLog(spark, out + "/log", stream.schema).progress().first()
+    assert counted["rows"] == got.count() and counted["late"] == counted["invalid"] == 0
     assert sum(p["numInputRows"] for p in jobs.monitor_progress(q)) >= got.count()
 
 
+def _velocity_by_hand(rows):
+    """Plain counts of ``(id, us, sender)`` over the hour and the day before."""
+    out = {}
+    for i, us, sender in rows:
+        ages = [us - t for _, t, s in rows if s == sender and t < us]
+        out[i] = (sum(a <= 3_600_000_000 for a in ages), sum(a <= 86_400_000_000 for a in ages))
+    return out
+
+
+def test_log_retries_late_rows_and_corrections(spark, tmp_path):
+    """Five batches with a segment of two, one of them repeated: every row sees the batches before its own once."""
+    hour = 3_600_000_000
+    base = 1_700_000_000_000_000
+    batches = [[(1, 0, "A"), (2, hour, "B")], [(3, hour // 2, "A"), (4, 2 * hour, "B")], [(5, hour, "A")],
+               [(6, 3 * hour, "A"), (7, None, "A"), (8, -30 * hour, "B"), (9, 3 * hour, None)], [(10, 4 * hour, "A"), (11, 4 * hour, "B")]]
+    schema = "id long, ts timestamp, sender_account string, receiver_account string, amount decimal(18,2), ts_us long, cents long"
+
+    def frame(rows):
+        made = spark.createDataFrame([(i, None if t is None else base + t, s) for i, t, s in rows], "id long, us long, s string")
+        return made.select("id", F.timestamp_micros("us").alias("ts"), F.col("s").alias("sender_account"),
+                           F.lit("R").alias("receiver_account"), F.lit(1).cast("decimal(18,2)").alias("amount"),
+                           F.col("us").alias("ts_us"), F.lit(100).cast("long").alias("cents"))
+
+    empty, out = spark.createDataFrame([], schema), str(tmp_path / "out")
+    kept = log.BatchLog(spark, out + "/log", empty.schema, segment=2)
+    for n in (0, 1, 2, 2, 3, 4, 4):
+        jobs._batch(frame(batches[n]), n, empty, out, kept, 24 * hour, 24 * hour, jobs.velocity)
+    got = {r["id"]: (r["count_1h"], r["count_24h"]) for r in spark.read.parquet(out + "/scored").collect()}
+    late = {r["id"] for r in spark.read.parquet(out + "/late").collect()}
+    assert late == {7, 8} and set(got) == {1, 2, 3, 4, 5, 6, 9, 10, 11}
+    timed = [(i, base + t, s) for b in batches for i, t, s in b if t is not None]
+    want = _velocity_by_hand(timed)
+    assert {i: v for i, v in got.items() if i != 9} == {i: v for i, v in want.items() if i in got and i != 9}
+    counts = {r["log_batch"]: (r["rows"], r["invalid"], r["late"], r["last_id"]) for r in kept.progress().collect()}
+    assert counts == {0: (2, 0, 0, 2), 1: (2, 0, 0, 4), 2: (1, 0, 0, 5), 3: (4, 1, 2, 9), 4: (2, 0, 0, 11)}
+    fixed = jobs.correct_late(spark, empty, out, empty.schema, jobs.velocity, 5).collect()
+    assert {r["id"]: (r["count_1h"], r["count_24h"]) for r in fixed} == {i: want[i] for i in (2, 4, 8, 11)}
+
+
+def test_watchlist_changes_between_batches(spark, tiny, tx, tmp_path):
+    """An entry added after the first batch hits in the second."""
+    accounts, src, out, lists = views.accounts(spark, tiny), str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "list")
+    listed = views.watchlist(spark, tiny)
+    listed.where("false").write.parquet(lists)
+    sender = tx.join(accounts.select(F.col("account_number").alias("sender_account"), "id_number"), "sender_account").first()
+    rows = tx.where(F.col("sender_account") == sender["sender_account"])
+    cut = rows.agg(F.percentile_approx("ts_us", 0.5)).first()[0]
+    names = spark.createDataFrame([], "p_name string, w_name string, score double")
+    for part in (rows.where(F.col("ts_us") <= cut), rows.where(F.col("ts_us") > cut)):
+        part.write.mode("append").parquet(src)
+        jobs.stream_score(jobs.stream_transactions(spark, src, tx.schema), tx.where("false"), accounts,
+                          lambda: spark.read.parquet(lists), out, str(tmp_path / "cp"), pairs=names).awaitTermination()
+        spark.createDataFrame([(1, "No One", sender["id_number"], None, "sanctions", None)], listed.schema).write.mode("append").parquet(lists)
+    hit = spark.read.parquet(out + "/scored").select("id", "ts_us", F.exists("screening_hits", lambda h: h["match_type"] == "exact_id").alias("hit"))
+    assert {r["hit"] for r in hit.where(F.col("ts_us") <= cut).collect()} == {False}
+    assert {r["hit"] for r in hit.where(F.col("ts_us") > cut).collect()} == {True}
+
+
 def test_burst_session_edge(spark):
     """Five minutes exactly still joins a session; a microsecond more does not."""
     base = 1_700_000_000_000_000
