@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from checks.profiles import AS_OF_US as PROFILE_AS_OF_US
 from checks.registry import define, query
 from checks.rules import RISK_LEVEL, assessed
-from checks.screening import token_pairs
 from moneytrail.functions import scalars
 from moneytrail.operators import risk, windows
 from moneytrail.plans import online
@@ -133,7 +132,7 @@ def online_rows(spark, d):
     model = views.predictions(spark, d).select("id", F.col("predicted").alias("ml_level"),
                                                F.col("confidence").alias("ml_confidence"))
     return online.score_online(tx, views.accounts(spark, d), views.watchlist(spark, d),
-                               build_profiles(tx, PROFILE_AS_OF_US), model, pairs=token_pairs(spark, d),
+                               build_profiles(tx, PROFILE_AS_OF_US), model,
                                hot=find_hot_keys(tx, "sender_account"))
 
 
