@@ -1,34 +1,29 @@
 """Adaptive profile update: recent behaviour replaces old behaviour at a rate that falls with maturity and anomaly.
 
-The update of one transaction moves averages and shares by ``alpha``; ``fold_rows`` applies it in order and is what
-the streaming job keeps per account.  The batch job gets the same profile without folding a whole account in one
-task: every step keeps at most 98.75 % of what was there (99.375 % for recipients, per transfer), so after 8 000
-steps the start has faded far below double precision and the newest 8 000 rows and transfers decide.  Counts,
-extremes and country weights, which do not fade, come from aggregations over all rows.
+The update of one transaction depends on all before it: lists are cut to ten after every step, shares are normalised.
+So every account is folded in order of time: rows are dealt by account and sorted inside the partitions, and one pass
+carries the state of the account it is in from batch to batch. A task holds one Arrow batch and one state, however long the
+history; nothing is cut off. One account is folded by one task.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moneytrail.constants import COUNTRY_LISTS
-from moneytrail.plans.hot import NO_HOT_KEYS, HotKeys
-from moneytrail.plans.scan import Measure, running
-
-MEMORY = 8_000
+#: Newest transactions that a profile keeps, preferred channels and types that it names, states written at a time.
+RECENT, PREFERRED, WRITTEN = 50, 3, 1_000
 STATE_SCHEMA = ("account string, total_transactions long, avg_amount double, std_amount double, min_amount double, "
                 "max_amount double, channel_distribution map<string,double>, type_distribution map<string,double>, "
                 "common_recipients map<string,double>, common_countries map<string,double>, "
-                "recipient_diversity double, international_ratio double")
-
-
-def learning_rate(total: Column, score: Column) -> Column:
-    """``alpha`` of a row that brings the profile to ``total`` transactions."""
-    return (1 - F.coalesce(score, F.lit(0.0)) / 200) * 0.05 * (1 - F.least(F.lit(1.0), total / 100) * 0.5)
+                "recipient_diversity double, international_ratio double, preferred_channels array<string>, "
+                "preferred_types array<string>, recent array<struct<id: bigint, ts_us: bigint, amount: double, "
+                "channel: string, kind: string, receiver: string, country: string>>")
 
 
 def _mix(shares: dict, key: str, alpha: float) -> dict:
@@ -42,43 +37,55 @@ def _top(weights: dict, n: int = 10) -> dict:
     return dict(sorted(weights.items(), key=lambda kv: (-kv[1], kv[0]))[:n])  # ties by name: repeatable
 
 
-def fold_rows(state: dict, rows, with_totals: bool = True) -> dict:
-    """Apply rows ``(alpha, amount, channel, kind, receiver, country, for_all, for_recipients)`` in order."""
-    s = dict(state)
-    for r in rows:
-        a = r.alpha if r.alpha == r.alpha and r.alpha is not None else None
-        if a is None:
-            mature = min(1.0, (s["total_transactions"] + 1) / 100)
-            a = 0.05 * (1.0 - r.score / 200) * (1 - mature * 0.5)
-        if with_totals:
-            s["total_transactions"] += 1
-            s["min_amount"], s["max_amount"] = min(s["min_amount"], r.amount), max(s["max_amount"], r.amount)
-            seen = s["common_countries"]
-            fresh = {c: (w + a if c == r.country else w * 0.99) for c, w in seen.items()}
-            if r.country not in seen:
-                fresh[r.country] = 2 * a
-            s["common_countries"] = _top(fresh)
-        if r.for_all:
-            s["avg_amount"] = s["avg_amount"] * (1 - a) + r.amount * a
-            s["std_amount"] = s["std_amount"] * (1 - a) + abs(r.amount - s["avg_amount"]) * a
-            s["channel_distribution"] = _mix(s["channel_distribution"], r.channel, a)
-            s["type_distribution"] = _mix(s["type_distribution"], r.kind, a)
-        if r.for_recipients and r.kind == "transfer" and r.receiver:
-            known = s["common_recipients"]
-            fresh = {c: (w * (1 - a) + a if c == r.receiver else w * (1 - a * 0.5)) for c, w in known.items()}
-            fresh.setdefault(r.receiver, a)
-            s["common_recipients"] = _top(fresh)
-            total = sum(s["common_recipients"].values())
-            if total > 0:
-                s["recipient_diversity"] = len(s["common_recipients"]) / total
+def _preferred(shares: dict) -> list:
+    return list(_top(shares, PREFERRED))
+
+
+def _step(s: dict, r) -> None:
+    """One transaction, in place."""
+    s["total_transactions"] += 1
+    a = 0.05 * (1.0 - r.score / 200) * (1 - min(1.0, s["total_transactions"] / 100) * 0.5)
+    s["avg_amount"] = s["avg_amount"] * (1 - a) + r.amount * a
+    s["std_amount"] = s["std_amount"] * (1 - a) + abs(r.amount - s["avg_amount"]) * a
+    s["min_amount"], s["max_amount"] = min(s["min_amount"], r.amount), max(s["max_amount"], r.amount)
+    s["channel_distribution"] = _mix(s["channel_distribution"], r.channel, a)
+    s["type_distribution"] = _mix(s["type_distribution"], r.kind, a)
+    if r.kind == "transfer" and r.receiver:
+        fresh = {c: (w * (1 - a) + a if c == r.receiver else w * (1 - a * 0.5)) for c, w in s["common_recipients"].items()}
+        fresh.setdefault(r.receiver, a)
+        s["common_recipients"] = _top(fresh)
+        total = sum(s["common_recipients"].values())
+        if total > 0:
+            s["recipient_diversity"] = len(s["common_recipients"]) / total
+    seen = s["common_countries"]
+    fresh = {c: (w + a if c == r.country else w * 0.99) for c, w in seen.items()}
+    if r.country not in seen:
+        fresh[r.country] = 2 * a
+    s["common_countries"] = _top(fresh)
+    s["recent"].append({"id": r.id, "ts_us": r.ts_us, "amount": r.amount, "channel": r.channel, "kind": r.kind,
+                        "receiver": r.receiver, "country": r.country})
+    del s["recent"][:-RECENT]
+
+
+def _named(s: dict) -> dict:
+    """What follows from the state as a whole."""
     countries = s["common_countries"]
     if countries:
         s["international_ratio"] = sum(c not in COUNTRY_LISTS["domestic"] for c in countries) / len(countries)
+    s["preferred_channels"], s["preferred_types"] = _preferred(s["channel_distribution"]), _preferred(s["type_distribution"])
     return s
 
 
+def fold_rows(state: dict, rows) -> dict:
+    """The state after rows ``(id, ts_us, score, amount, channel, kind, receiver, country)`` in order."""
+    s = {**state, "recent": list(state.get("recent") or [])}
+    for r in rows:
+        _step(s, r)
+    return _named(s)
+
+
 def profile_state(profiles: DataFrame) -> DataFrame:
-    """Columns of a built profile the update works on."""
+    """Columns of a built profile the update works on. The newest transactions begin with the first update."""
     pairs = lambda c: F.map_from_entries(c)
     return profiles.select("account", "total_transactions", "avg_amount", "std_amount", "min_amount", "max_amount",
                            "channel_distribution", "type_distribution",
@@ -97,86 +104,63 @@ def updates(tx: DataFrame) -> DataFrame:
         F.coalesce("destination_country", F.lit("ZW")).alias("country"), score.cast("double").alias("score"))
 
 
-def update_profiles(profiles: DataFrame, tx: DataFrame, hot: HotKeys = NO_HOT_KEYS) -> DataFrame:
+def fold_accounts(states: DataFrame, rows: DataFrame, new_accounts: bool = False) -> DataFrame:
+    """Every account of ``states`` (``profile_state``, or what this returns) after its ``rows`` (``updates``) in time order.
+
+    Rows of accounts without a state are left out, or with ``new_accounts`` begin one at their first amount. An account
+    without rows keeps its state.
+    """
+    starts = states.select("account", F.to_json(F.struct(*states.columns)).alias("start"))
+    both = starts.unionByName(rows, allowMissingColumns=True).repartition("account")
+    both = both.sortWithinPartitions("account", F.col("start").isNull(), "ts_us", "id")
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        account, state, done = None, None, []
+        for frame in frames:
+            for r in frame.itertuples(index=False):
+                if r.account != account:
+                    if state is not None:
+                        done.append(_pack(_named(state)))
+                    account, state = r.account, None
+                    if len(done) >= WRITTEN:
+                        yield pd.DataFrame(done, columns=_COLUMNS)
+                        done = []
+                if isinstance(r.start, str):
+                    state = _unpack(json.loads(r.start))
+                    continue
+                if state is None and new_accounts:
+                    state = _unpack({**_EMPTY, "account": account, "avg_amount": r.amount})
+                if state is not None:
+                    _step(state, r)
+        if state is not None:
+            done.append(_pack(_named(state)))
+        yield pd.DataFrame(done, columns=_COLUMNS)
+
+    # numbers that a starting row lacks would turn whole columns into doubles
+    whole = both.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("id", "ts_us")})
+    return whole.mapInPandas(fold, STATE_SCHEMA)
+
+
+def update_profiles(profiles: DataFrame, tx: DataFrame) -> DataFrame:
     """State of every profile after all of its account's transactions, in time order."""
-    state = profile_state(profiles)
-    rows = updates(tx).join(state.select("account", F.col("total_transactions").alias("_n0")), "account")
-    one = F.lit(1).cast("long")
-    rows = running(rows, "account", [Measure("place", one)], hot=hot)
-    rows = rows.withColumn("alpha", learning_rate(F.col("_n0") + F.col("place"), F.col("score")))
-
-    totals = rows.groupBy("account").agg(F.count(F.lit(1)).alias("_rows"), F.min("amount").alias("_lo"),
-                                         F.max("amount").alias("_hi"))
-    countries = _country_weights(rows, state, hot)
-
-    # the newest rows, and the newest transfers, of each account
-    newest = Window.partitionBy("account").orderBy(F.col("place").desc())
-    recent = (rows.withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= MEMORY)
-              .withColumns({"for_all": F.lit(True), "for_recipients": F.lit(False)}).drop("_r"))
-    transfers = (rows.where("kind = 'transfer'").withColumn("_r", F.row_number().over(newest))
-                 .where(F.col("_r") <= MEMORY)
-                 .withColumns({"for_all": F.lit(False), "for_recipients": F.lit(True)}).drop("_r"))
-    tail = recent.unionByName(transfers)
-
-    def fold(key, start: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
-        if not len(start):
-            return pd.DataFrame()
-        s = _unpack(start.iloc[0].to_dict())
-        s = fold_rows(s, part.sort_values(["place", "for_all"]).itertuples(index=False), with_totals=False)
-        return pd.DataFrame([_pack(s)])
-
-    folded = state.groupBy("account").cogroup(tail.groupBy("account")).applyInPandas(fold, STATE_SCHEMA)
-    out = folded.join(totals, "account", "left").join(countries, "account", "left")
-    names = F.map_keys(F.coalesce("_countries", "common_countries"))
-    abroad = F.size(F.filter(names, lambda c: ~c.isin(COUNTRY_LISTS["domestic"])))
-    return out.select(
-        "account", (F.col("total_transactions") + F.coalesce("_rows", F.lit(0))).alias("total_transactions"),
-        "avg_amount", "std_amount", F.least("min_amount", "_lo").alias("min_amount"),
-        F.greatest("max_amount", "_hi").alias("max_amount"), "channel_distribution", "type_distribution",
-        "common_recipients", F.coalesce("_countries", "common_countries").alias("common_countries"),
-        "recipient_diversity",
-        F.when(F.size(names) > 0, abroad / F.size(names)).otherwise(F.col("international_ratio"))
-        .alias("international_ratio"))
-
-
-def _country_weights(rows: DataFrame, state: DataFrame, hot: HotKeys) -> DataFrame:
-    """Weight of each country: its own rows add ``alpha`` (the first ever, twice), rows of others take one percent."""
-    one = F.lit(1).cast("long")
-    keyed = rows.select("account", "country", "id", "ts_us", "place", "alpha")
-    keyed = running(keyed, ["account", "country"], [Measure("own", one)], hot=hot)
-    ends = keyed.groupBy("account").agg(F.max("place").alias("rows"))
-    per = keyed.groupBy("account", "country").agg(F.max("own").alias("owns"))
-    start = state.select("account", F.explode("common_countries").alias("country", "w0"))
-    base = start.join(per, ["account", "country"], "full").join(ends, "account")
-    base = base.select("account", "country", "w0", F.coalesce("owns", F.lit(0)).alias("owns"), "rows")
-    facts = keyed.join(base, ["account", "country"])
-    others_after = (F.col("rows") - F.col("place")) - (F.col("owns") - F.col("own"))
-    first = (F.col("own") == 1) & F.col("w0").isNull()
-    added = facts.groupBy("account", "country").agg(
-        F.sum(F.when(first, F.col("alpha") * 2).otherwise(F.col("alpha")) * F.pow(F.lit(0.99), others_after))
-        .alias("added"))
-    total = base.join(added, ["account", "country"], "left").select(
-        "account", "country", (F.coalesce("w0", F.lit(0.0)) * F.pow(F.lit(0.99), F.col("rows") - F.col("owns"))
-                               + F.coalesce("added", F.lit(0.0))).alias("w"))
-    top = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("w")).alias("o"), F.col("country")))), 1, 10)
-    return total.groupBy("account").agg(F.map_from_entries(F.transform(top, lambda x: F.struct(
-        x["country"], -x["o"]))).alias("_countries"))
+    return fold_accounts(profile_state(profiles), updates(tx))
 
 
 _MAPS = ("channel_distribution", "type_distribution", "common_recipients", "common_countries")
 
 
+_COLUMNS = ["account", "total_transactions", "avg_amount", "std_amount", "min_amount", "max_amount", *_MAPS,
+            "recipient_diversity", "international_ratio", "preferred_channels", "preferred_types", "recent"]
+_EMPTY = {"total_transactions": 0, "std_amount": 0.0, "min_amount": float("inf"), "max_amount": float("-inf"),
+          "recipient_diversity": 0.0, "international_ratio": 0.0}
+
+
 def _unpack(row: dict) -> dict:
     for m in _MAPS:
-        value = row.get(m)
-        row[m] = dict(value) if value is not None else {}
+        row[m] = dict(row.get(m) or {})
+    row["recent"] = [r if isinstance(r, dict) else r.asDict() for r in row.get("recent") or []]
     return row
 
 
 def _pack(state: dict) -> dict:
-    return {k: state[k] for k in ("account", "total_transactions", "avg_amount", "std_amount", "min_amount",
-                                  "max_amount", *_MAPS, "recipient_diversity", "international_ratio")}
-
-
-def state_json(state: dict) -> str:
-    return json.dumps(_pack(state), sort_keys=True)
+    return {k: state.get(k) for k in _COLUMNS}

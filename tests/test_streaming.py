@@ -103,8 +103,7 @@ def test_profile_update_equals_plain_fold(spark, tx):
     later = tx.where(F.col("ts_us") >= cut)
     got = {r["account"]: r for r in adaptive.update_profiles(base, later).collect()}
     rows = {}
-    for r in adaptive.updates(later).orderBy("ts_us", "id").toPandas().assign(
-            alpha=float("nan"), for_all=True, for_recipients=True).itertuples(index=False):
+    for r in adaptive.updates(later).orderBy("ts_us", "id").toPandas().itertuples(index=False):
         rows.setdefault(r.account, []).append(r)
     for start in adaptive.profile_state(base).collect():
         want = adaptive.fold_rows(adaptive._unpack(start.asDict()), rows.get(start["account"], []))
@@ -115,6 +114,26 @@ def test_profile_update_equals_plain_fold(spark, tx):
         for name in ("channel_distribution", "type_distribution", "common_recipients", "common_countries"):
             assert set(g[name]) == set(want[name]), name
             assert all(abs(g[name][k] - want[name][k]) < 1e-9 for k in want[name]), name
+        assert g["preferred_channels"] == want["preferred_channels"] and len(g["preferred_channels"]) <= 3
+        assert [r["id"] for r in g["recent"]] == [r["id"] for r in want["recent"]]
+
+
+def test_long_histories_are_folded_whole(spark):
+    """A hundred transfers to one recipient, then nine thousand to another: both stay known, and the last fifty rows."""
+    tx = spark.range(9_100).select(
+        "id", F.lit("A").alias("sender_account"), (F.col("id") * 1000).alias("ts_us"), F.lit(10.0).alias("amount"), F.lit("online").alias("channel"),
+        F.lit("transfer").alias("transaction_type"), F.when(F.col("id") < 100, "RA").otherwise("RB").alias("receiver_account"),
+        F.lit("ZW").alias("destination_country")).repartition(7)
+    start = spark.createDataFrame([("A", 0, 10.0, 0.0, 10.0, 10.0, {}, {}, {}, {}, 0.0, 0.0), ("B", 5, 1.0, 0.5, 1.0, 2.0, {"atm": 1.0}, {}, {}, {"FR": 0.1}, 0.0, 1.0)],
+                                  "account string, total_transactions long, avg_amount double, std_amount double, min_amount double, max_amount double, "
+                                  "channel_distribution map<string,double>, type_distribution map<string,double>, common_recipients map<string,double>, "
+                                  "common_countries map<string,double>, recipient_diversity double, international_ratio double")
+    got = {r["account"]: r for r in adaptive.fold_accounts(start, adaptive.updates(tx)).collect()}
+    assert set(got["A"]["common_recipients"]) == {"RA", "RB"} and got["A"]["recipient_diversity"] > 1.9
+    assert got["A"]["total_transactions"] == 9_100 and [r["id"] for r in got["A"]["recent"]] == list(range(9_050, 9_100))
+    assert got["B"]["total_transactions"] == 5 and got["B"]["preferred_channels"] == ["atm"] and got["B"]["recent"] == []
+    more = adaptive.fold_accounts(start, adaptive.updates(tx.withColumn("sender_account", F.lit("C"))), new_accounts=True)
+    assert {r["account"]: r["total_transactions"] for r in more.collect()} == {"A": 0, "B": 5, "C": 9_100}
 
 
 def test_events_and_profiles_round_trip(spark, tiny, tx, tmp_path):
