@@ -20,7 +20,8 @@ from moneytrail.session import stable
 
 _SMALL = 256  # rows; sorting every prefix of so short a history is cheaper than leaving the JVM
 _BITS = 4
-_LEVELS = 10  # 40 bits of cents: eleven billion dollars
+_LEVELS = 16  # of four bits: all of a long
+_FLIPPED = "(cents ^ shiftleft(1L, 63))"  # with its sign bit flipped a signed number sorts as an unsigned one
 
 
 def _heap_medians(rows: pd.DataFrame) -> pd.DataFrame:
@@ -93,17 +94,25 @@ def _digit_medians(rows: DataFrame, hot: HotKeys) -> DataFrame:
     total = F.col("before") + 1
     ranks = F.array(F.floor((total - 1) / 2), F.floor(total / 2)).alias("ranks")
     asks = sized.select("id", SENDER, "ts_us", "cents", F.posexplode(ranks).alias("part", "rank"))
-    asks = asks.withColumn("prefix", F.lit(0).cast("long"))
+    # digits that all amounts share need no descent
+    low, high = rows.agg(F.min("cents"), F.max("cents")).first()
+    if low is None:
+        return asks.selectExpr("id", "cents AS median_cents2")
+    low, high = low + (1 << 63), high + (1 << 63)
+    levels = next((n for n in range(_LEVELS) if low >> (n * _BITS) == high >> (n * _BITS)), _LEVELS)
+    shared = low >> (levels * _BITS)
+    asks = asks.withColumn("prefix", F.lit(shared if shared < 1 << 63 else shared - (1 << 64)).cast("long"))
     one = F.lit(1).cast("long")
-    for level in reversed(range(_LEVELS)):
-        digit = F.expr(f"shiftright(cents, {level * _BITS}) & {(1 << _BITS) - 1}")
-        facts = rows.select(SENDER, "ts_us", F.expr(f"shiftright(cents, {(level + 1) * _BITS})").alias("prefix"),
+    for level in reversed(range(levels)):
+        digit = F.expr(f"shiftrightunsigned({_FLIPPED}, {level * _BITS}) & {(1 << _BITS) - 1}L")
+        above = F.expr(f"shiftrightunsigned({_FLIPPED}, {(level + 1) * _BITS})" if level + 1 < _LEVELS else "0L")
+        facts = rows.select(SENDER, "ts_us", above.alias("prefix"),
                             digit.alias("digit"))
         both = asks.unionByName(facts, allowMissingColumns=True)
         both = prior(both, [SENDER, "prefix"],
                      [Measure(f"d{d}", F.when(F.col("digit") == d, one)) for d in range(1 << _BITS)], hot=hot)
         both = both.where("id IS NOT NULL")
-        own = F.expr(f"shiftright(cents, {(level + 1) * _BITS})") == F.col("prefix")
+        own = above == F.col("prefix")
         counts = F.array(*[F.col(f"d{d}") + F.when(own & (digit == d), 1).otherwise(0)
                            for d in range(1 << _BITS)])
         both = both.withColumn("_counts", counts)
@@ -114,6 +123,6 @@ def _digit_medians(rows: DataFrame, hot: HotKeys) -> DataFrame:
                 (s["d"] + 1).alias("d"), (s["rank"] - n).alias("rank"), F.lit(False).alias("done"))))
         both = both.withColumn("_w", walked)
         asks = both.select("id", SENDER, "ts_us", "cents", "part", F.col("_w.rank").alias("rank"),
-                           (F.col("prefix") * (1 << _BITS) + F.col("_w.d")).cast("long").alias("prefix"))
+                           F.shiftleft("prefix", _BITS).bitwiseOR(F.col("_w.d").cast("long")).alias("prefix"))
         asks = stable(asks)  # each level reads the one before; keep the lineage short
-    return asks.groupBy("id").agg(F.sum("prefix").alias("median_cents2"))
+    return asks.groupBy("id").agg(F.sum(F.col("prefix").bitwiseXOR(F.expr("shiftleft(1L, 63)"))).alias("median_cents2"))

@@ -9,6 +9,7 @@ from moneytrail.constants import COUNTRY_LISTS, DAY_US, PROFILE_HISTORY, PROFILE
 from moneytrail.functions.scalars import index_percentile
 from moneytrail.operators.ledger import account_ledger
 from moneytrail.operators.windows import latest_per_account, with_sequence
+from moneytrail.plans.hot import NO_HOT_KEYS, HotKeys
 
 DIMENSIONS = {
     # name: (expression over a ledger row, how many ranked values a profile keeps)
@@ -21,11 +22,11 @@ DIMENSIONS = {
 }
 
 
-def profile_rows(tx: DataFrame, as_of_us: int) -> DataFrame:
+def profile_rows(tx: DataFrame, as_of_us: int, hot: HotKeys = NO_HOT_KEYS) -> DataFrame:
     """Ledger rows before ``as_of_us``, newest 500 per account, with ``seq``, ``n``, ``recency`` and ``gap_us``;
     accounts with fewer than five are left out."""
     ledger = account_ledger(tx.where(F.col("ts_us") < as_of_us))
-    return with_sequence(latest_per_account(ledger, PROFILE_HISTORY)).where(F.col("n") >= PROFILE_MIN_TX)
+    return with_sequence(latest_per_account(ledger, PROFILE_HISTORY, hot)).where(F.col("n") >= PROFILE_MIN_TX)
 
 
 def distributions(rows: DataFrame) -> DataFrame:
@@ -135,12 +136,12 @@ def scalar_columns(rows: DataFrame, as_of_us: int) -> DataFrame:
         "recent_transactions")
 
 
-def build_profiles(tx: DataFrame, as_of_us: int) -> DataFrame:
-    """One profile row per account with at least five transactions before ``as_of_us``.
+def build_profiles(tx: DataFrame, as_of_us: int, hot: HotKeys = NO_HOT_KEYS) -> DataFrame:
+    """One profile row per account with at least five transactions before ``as_of_us``; ``hot`` is about accounts.
 
     Everything after the newest-500 cut is bounded per account and stays on one partitioning by account.
     """
-    rows = profile_rows(tx, as_of_us)
+    rows = profile_rows(tx, as_of_us, hot)
     out = scalar_columns(rows, as_of_us).join(distribution_columns(distributions(rows)), "account")
     return out.withColumn("as_of_us", F.lit(as_of_us).cast("long"))
 

@@ -97,12 +97,19 @@ def days_since_previous(ledger: DataFrame, hot: HotKeys = NO_HOT_KEYS) -> DataFr
     return rows.withColumn("idle_days", F.floor((F.col("ts_us") - F.col("previous_us")) / DAY_US))
 
 
-def latest_per_account(ledger: DataFrame, n: int) -> DataFrame:
+def latest_per_account(ledger: DataFrame, n: int, hot: HotKeys = NO_HOT_KEYS, parts: int = 64) -> DataFrame:
     """Newest ``n`` rows of each account, numbered from the newest (``recency`` 1).
 
-    The rank filter is applied per task before the shuffle as well, so an account sends at most ``n`` rows per task.
+    The rank filter is applied per task before the shuffle as well, so an account sends at most ``n`` rows per task. Rows of
+    hot accounts are cut in two steps: to ``n`` in each of ``parts`` shares of an account, then to ``n`` of those.
     """
-    w = Window.partitionBy("account").orderBy(F.col("ts_us").desc(), F.col("id").desc())
+    newest = [F.col("ts_us").desc(), F.col("id").desc()]
+    if hot:
+        is_hot = hot.is_hot(F.col("account"))
+        shares = Window.partitionBy("account", F.pmod(F.xxhash64("id"), F.lit(parts))).orderBy(*newest)
+        few = ledger.where(is_hot).withColumn("recency", F.row_number().over(shares)).where(F.col("recency") <= n).drop("recency")
+        ledger = ledger.where(~is_hot).unionByName(few)
+    w = Window.partitionBy("account").orderBy(*newest)
     return ledger.withColumn("recency", F.row_number().over(w)).where(F.col("recency") <= n)
 
 

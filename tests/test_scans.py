@@ -131,3 +131,27 @@ def test_stable_rows_use_the_shared_folder(spark, tx):
     rows = stable(tx.select("id"))
     assert rows.count() == tx.count()
     assert any(files for _, _, files in os.walk(checkpoint_dir(spark)))
+
+
+def test_medians_of_all_longs_agree_on_every_path(spark, monkeypatch):
+    """Negative, equal and very large amounts: sorted, over heaps and digit by digit."""
+    cents = {"A": [-500, 200, 300, 95, 2 ** 41, 7, -3, 50], "B": [-2 ** 62 + 5, 2 ** 61, -1, 0, 3, -2 ** 40], "C": [7, 7, 7], "D": [2 ** 60]}
+    rows = [(1000 * n + i, s, 60_000_000 * (i // 2), c) for n, (s, values) in enumerate(cents.items()) for i, c in enumerate(values)]
+    df = spark.createDataFrame(rows, "id long, sender_account string, ts_us long, cents long")
+    want = {}
+    for n, s, t, c in rows:
+        known = sorted([x for _, o, u, x in rows if o == s and u < t] + [c])
+        want[n] = known[(len(known) - 1) // 2] + known[len(known) // 2]
+    for hot in (HotKeys(), HotKeys(tuple("ABCD")), HotKeys(("C",)), HotKeys(("Z",))):
+        assert {r["id"]: r["median_cents2"] for r in medians.running_median(df, hot).collect()} == want
+    monkeypatch.setattr(medians, "_SMALL", 0)
+    assert {r["id"]: r["median_cents2"] for r in medians.running_median(df).collect()} == want
+
+
+def test_newest_rows_of_hot_accounts(spark, tiny):
+    book = ledger.account_ledger(views.transactions(spark, tiny))
+    accounts = tuple(r[0] for r in book.select("account").distinct().collect())
+    for n in (3, 50):
+        plain = windows.latest_per_account(book, n)
+        same(plain, windows.latest_per_account(book, n, HotKeys(accounts[::2])))
+        same(plain, windows.latest_per_account(book, n, HotKeys(accounts), parts=5))
