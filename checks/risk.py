@@ -156,8 +156,16 @@ def online_risk(spark, d):
 
 
 @query("combine_rule_ai", f"""
-SELECT id, final_score::BIGINT AS final_score, final_level FROM (
- SELECT id, CASE WHEN lowered THEN rule_score ELSE s END AS final_score, CASE WHEN lowered THEN rule_level ELSE l END AS final_level FROM (
+SELECT id, final_score::BIGINT AS final_score, final_level, final_reason, ai_reason FROM (
+ SELECT id, CASE WHEN lowered THEN rule_score ELSE s END AS final_score, CASE WHEN lowered THEN rule_level ELSE l END AS final_level,
+  'AI behavior model predicted ' || replace(predicted, '_', ' ') || ' with ' || pct || ' confidence.' AS ai_reason,
+  CASE WHEN lowered THEN 'Mandatory compliance rule preserved. ' || note
+   WHEN heard AND NOT mandatory AND calm THEN 'AI-led behavior model recognized this as normal for the sender (' || pct || ' confidence), so non-mandatory rule risk was reduced. Rule review: ' || note
+   WHEN heard AND NOT mandatory THEN 'AI-led behavior model ' || CASE WHEN kept THEN 'reviewed but did not downgrade' WHEN ar > rr THEN 'increased' ELSE 'tempered' END ||
+     ' the behavioral risk (' || pct || ' confidence, ' || format('{{:.0f}}%', round(least(0.85::DOUBLE, greatest(0.6::DOUBLE, confidence)) * 100, 6)) || ' AI weighting). Rule review: ' || note
+   WHEN heard AND predicted = 'normal' THEN 'Mandatory compliance rule preserved despite AI normal prediction (' || pct || ' confidence). Rule review: ' || note
+   WHEN raised THEN 'Mandatory compliance rule preserved and AI behavior model added elevated context (' || pct || ' confidence). Rule review: ' || note
+   ELSE note END AS final_reason FROM (
   SELECT *, mandatory AND lr < rr AS lowered FROM (
    SELECT *, CASE l WHEN 'normal' THEN 0 WHEN 'low' THEN 1 WHEN 'suspicious' THEN 2 WHEN 'critical' THEN 4 ELSE 3 END AS lr FROM (
     SELECT *, CASE WHEN heard AND NOT mandatory AND calm THEN 'normal' WHEN (heard AND NOT mandatory) OR raised THEN {RISK_LEVEL.format('s')} ELSE rule_level END AS l FROM (
@@ -165,7 +173,7 @@ SELECT id, final_score::BIGINT AS final_score, final_level FROM (
        WHEN raised THEN greatest(rule_score, ai) ELSE rule_score END AS s FROM (
       SELECT *, predicted = 'normal' AND confidence >= 0.85 AND rr < 1 AS calm, predicted = 'normal' AND rr >= 2 AS kept,
         heard AND mandatory AND predicted <> 'normal' AND ar > rr AS raised FROM (
-       SELECT r.*, p.predicted, p.confidence, r.critical_rule AS mandatory, p.confidence >= 0.55 AS heard, CASE predicted WHEN 'normal' THEN 10 WHEN 'suspicious' THEN 55 ELSE 90 END AS ai,
+       SELECT r.*, p.predicted, p.confidence, r.rule_score || ' points' AS note, format('{{:.0f}}%', round(p.confidence * 100, 6)) AS pct, r.critical_rule AS mandatory, p.confidence >= 0.55 AS heard, CASE predicted WHEN 'normal' THEN 10 WHEN 'suspicious' THEN 55 ELSE 90 END AS ai,
          CASE rule_level WHEN 'normal' THEN 0 WHEN 'low' THEN 1 WHEN 'suspicious' THEN 2 WHEN 'critical' THEN 4 ELSE 3 END AS rr,
          CASE predicted WHEN 'normal' THEN 0 WHEN 'suspicious' THEN 2 ELSE 3 END AS ar,
          CAST(round_even(CASE predicted WHEN 'normal' THEN 10 WHEN 'suspicious' THEN 55 ELSE 90 END * least(0.85::DOUBLE, greatest(0.6::DOUBLE, confidence))
@@ -173,10 +181,18 @@ SELECT id, final_score::BIGINT AS final_score, final_level FROM (
        FROM rule_scores r JOIN predictions p USING (id))))))))""", "rule_scores", "predictions")
 def combine_rule_ai(spark, d):
     from moneytrail.operators.rules import is_mandatory
-    rows = is_mandatory(assessed(spark, d)).select("id", "rule_score", "rule_level", "mandatory")
+    rows = is_mandatory(assessed(spark, d)).select("id", "rule_score", "rule_level", "mandatory",
+                                                   F.concat(F.col("rule_score").cast("string"), F.lit(" points")).alias("rule_reason"))
     model = views.predictions(spark, d).select("id", F.col("predicted").alias("ai_level"),
                                                F.col("confidence").alias("ai_confidence"))
-    return risk.combine_rule_ai(rows.join(model, "id")).select("id", "final_score", "final_level")
+    return risk.combine_rule_ai(rows.join(model, "id")).select("id", "final_score", "final_level", "final_reason", "ai_reason")
+
+
+@query("wealth_segments", """
+SELECT t.id, coalesce(a.wealth_segment, 'average') AS wealth_segment FROM transactions t LEFT JOIN accounts a ON a.account_number = t.sender_account""",
+       "transactions", "accounts")
+def wealth_segments(spark, d):
+    return risk.with_wealth_segment(views.transactions(spark, d), views.accounts(spark, d)).select("id", "wealth_segment")
 
 
 @query("calibrate_labelled_risk", """

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moneytrail.constants import (AI_RISK_SCORE, ALERT_LEVELS, COUNTRY_LISTS, CTR_THRESHOLD, ML_BASE_SCORE,
-                                  RECOMMENDED_ACTIONS, RISK_RANK, STATUS_BADGE)
+from moneytrail.constants import (AI_PREDICTED, AI_RISK_SCORE, AI_UNHEARD, ALERT_LEVELS, BLEND_DIRECTIONS, BLEND_TEXTS,
+                                  COUNTRY_LISTS, CTR_THRESHOLD, ML_BASE_SCORE, RECOMMENDED_ACTIONS, RISK_RANK,
+                                  STATUS_BADGE)
 from moneytrail.functions.scalars import (composite_level, lookup, money_text, percent_text, risk_level_from_score,
                                           risk_rank)
 
@@ -182,15 +183,16 @@ def online_risk(df: DataFrame) -> DataFrame:
 def combine_rule_ai(df: DataFrame) -> DataFrame:
     """Blend a rule result with a model result.
 
-    Input ``rule_score``, ``rule_level``, ``ai_level``, ``ai_confidence``, ``mandatory``; adds ``final_score`` and
-    ``final_level``.  A mandatory rule is never lowered, and a "normal" model never lowers a suspicious rule.
+    Input ``rule_score``, ``rule_level``, ``ai_level``, ``ai_confidence``, ``mandatory`` and, if there is one,
+    ``rule_reason``; adds ``final_score``, ``final_level``, ``final_reason`` and ``ai_reason``.  A mandatory rule is never
+    lowered, and a "normal" model never lowers a suspicious rule.
     """
     c = F.col
     rule, conf = c("rule_score"), F.coalesce("ai_confidence", F.lit(0.0))
     rule_rank, ai_rank = risk_rank(c("rule_level")), risk_rank(c("ai_level"))
     ai = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in AI_RISK_SCORE.items() for x in kv]),
                                  F.coalesce("ai_level", F.lit(""))), rule)
-    heard = c("ai_level").isNotNull() & (conf >= 0.55)
+    heard = (F.coalesce("ai_level", F.lit("")) != "") & (conf >= 0.55)
     free = ~F.coalesce("mandatory", F.lit(False))
     weight = F.least(F.lit(0.85), F.greatest(F.lit(0.60), conf))
     blend = F.bround(ai * weight + rule * (1 - weight), 0).cast("long")
@@ -205,8 +207,29 @@ def combine_rule_ai(df: DataFrame) -> DataFrame:
              .otherwise(c("rule_level")))
     rows = rows.withColumn("_l", level)
     lowered = ~free & (risk_rank(c("_l")) < rule_rank)
+    known = F.coalesce("rule_reason", F.lit("")) if "rule_reason" in df.columns else F.lit("")
+    sure, text = percent_text(conf), BLEND_TEXTS
+    direction = (F.when(kept, BLEND_DIRECTIONS["kept"]).when(ai_rank > rule_rank, BLEND_DIRECTIONS["up"])
+                 .otherwise(BLEND_DIRECTIONS["down"]))
+    reason = (F.when(lowered, F.format_string(text["lowered"], known))
+              .when(heard & free & calm, F.format_string(text["calm"], sure, known))
+              .when(heard & free, F.format_string(text["blended"], direction, sure, percent_text(weight), known))
+              .when(heard & ~free & (c("ai_level") == "normal"), F.format_string(text["preserved"], sure, known))
+              .when(raised, F.format_string(text["raised"], sure, known)).otherwise(known))
+    said = F.when(F.coalesce("ai_level", F.lit("")) != "", F.format_string(
+        AI_PREDICTED, F.replace("ai_level", F.lit("_"), F.lit(" ")), sure)).otherwise(AI_UNHEARD)
     return rows.withColumns({"final_score": F.when(lowered, rule).otherwise(c("_s")).cast("long"),
-                             "final_level": F.when(lowered, c("rule_level")).otherwise(c("_l"))}).drop("_s", "_l")
+                             "final_level": F.when(lowered, c("rule_level")).otherwise(c("_l")),
+                             "final_reason": reason, "ai_reason": said}).drop("_s", "_l")
+
+
+def with_wealth_segment(tx: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Adds the sender's ``wealth_segment``, ``average`` where there is no account or no segment. One row per transaction:
+    of repeated account numbers the one with the greatest id counts."""
+    segments = accounts.where("account_number IS NOT NULL").groupBy(F.col("account_number").alias("sender_account")).agg(
+        F.max_by("wealth_segment", "id").alias("wealth_segment"))
+    return tx.drop("wealth_segment").join(segments, "sender_account", "left").withColumn(
+        "wealth_segment", F.coalesce("wealth_segment", F.lit("average")))
 
 
 def calibrate_labelled_risk(df: DataFrame, label: str = "generated_label") -> DataFrame:

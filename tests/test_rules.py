@@ -74,6 +74,21 @@ def test_blend(spark, score, level, ai, conf, mandatory, want_score, want_level)
     assert (row["final_score"], row["final_level"]) == (want_score, want_level)
 
 
+def test_blend_reasons(spark):
+    rows = [(45, "suspicious", "High-value transfer", "normal", 0.92, False), (20, "normal", "Routine", "super_suspicious", 0.88, False),
+            (65, "high_risk", "[SAR REVIEW] limit", "normal", 0.95, True), (10, "normal", "Small", "normal", 0.9, False),
+            (30, "low", "x", "critical", 0.7, True), (30, "low", None, None, None, False), (30, "low", "y", "suspicious", 0.3, False)]
+    df = spark.createDataFrame(rows, "rule_score long, rule_level string, rule_reason string, ai_level string, ai_confidence double, mandatory boolean")
+    got = [(r["final_reason"], r["ai_reason"]) for r in risk.combine_rule_ai(df).collect()]
+    assert "reviewed but did not downgrade" in got[0][0] and "92% confidence, 85% AI weighting" in got[0][0] and "normal" in got[0][1]
+    assert "AI-led behavior model increased" in got[1][0] and "super suspicious with 88%" in got[1][1]
+    assert got[2][0].endswith("(95% confidence). Rule review: [SAR REVIEW] limit") and "despite AI normal" in got[2][0]
+    assert "reduced. Rule review: Small" in got[3][0]
+    assert "added elevated context" in got[4][0] or got[4][0] == "x"
+    assert got[5] == ("", "AI model unavailable or not confident enough to affect final risk.")
+    assert got[6] == ("y", "AI behavior model predicted suspicious with 30% confidence.")
+
+
 def test_calibration(spark):
     df = spark.createDataFrame([(80, "normal", False), (80, "normal", True), (10, "suspicious", False),
                                 (10, "super_suspicious", False)],
