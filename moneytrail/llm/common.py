@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,3 +56,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def byte_values(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """The values of a binary column, null as empty."""
     return [x or b"" for x in column.to_pylist()]
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, or the first of ``name_``, ``name__``, ... that is none of the columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def apart(docs: DataFrame, names: list[str], run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``run(docs)`` where columns that are called like one of ``names``, which the operator adds, have another name
+    meanwhile. Returns the columns of ``docs``; the operator's own are dropped."""
+    taken = {n.lower() for n in names}
+    other = {}
+    for c in docs.columns:
+        if c.lower() in taken:
+            other[c] = fresh([*docs.columns, *names, *other.values()], c)
+    out = run(docs.withColumnsRenamed(other))
+    return out.select(*[F.col(f"`{other.get(c, c)}`").alias(c) for c in docs.columns])
