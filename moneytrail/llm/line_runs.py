@@ -46,8 +46,8 @@ def _named(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     return rows.join(classes, keys)
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``(id, h, gone)``: for documents with later copies of runs, the numbers of their lines (those with a word,
+def repeated_lines(positions: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``(id, h, gone)`` from :func:`_positions`, which is read twice: for documents with later copies of runs, the numbers of their lines (those with a word,
     from 0) that lie in one.
 
     A run counts if it has ``min_words`` words or more in all. It is a later copy if the same lines also begin at an
@@ -56,7 +56,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     most; so the doubling ends after log2(min_words) rounds, whatever the length of the maximal runs.
     """
     # repeated rows of one document stand at equal positions: each counts once
-    lines = written(_named(_positions(docs, id_col, text_col), ["a", "b"], "n0").drop("a", "b").distinct(), "lines")
+    lines = written(_named(positions, ["a", "b"], "n0").drop("a", "b").distinct(), "lines")
     own = Window.partitionBy("id", "h").orderBy("at")
     ahead = lambda column, steps: F.first(column).over(own.rangeBetween(steps, steps))
 
@@ -97,11 +97,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Every row stays, if with an empty text. Null texts stay null. Rows that share id and text are the same place: none is
     a later copy of the other. Null ids come first. ``dedup`` must not be a column of ``docs``.
     """
-    gone = repeated_lines(docs, id_col, text_col, min_words).select(
-        F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("gone").alias("_gone"))
+    positions = written(_positions(docs, id_col, text_col), "positions")
+    counted = positions.groupBy("id", "h").agg((F.max("at") + 1).alias("n"))
+    facts = counted.unionByName(repeated_lines(positions, min_words), allowMissingColumns=True).groupBy(
+        F.col("id").alias("_id"), F.col("h").alias("_h")).agg(F.max("n").alias("_n"), F.first("gone", True).alias("_gone"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     keyed = docs.select(row.alias("row"), F.col(id_col).alias("_own"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_hash"))
-    joined = keyed.join(gone, F.expr("_own <=> _id AND _hash = _h"), "left")
+    joined = keyed.join(facts, F.expr("_own <=> _id AND _hash = _h"), "left")
     text = F.col("row").getField(text_col)
     full = lambda x: F.length(F.translate(x, _BLANK, "")) > 0
     # (number of the next line with a word, lines that stay)
@@ -111,7 +113,6 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.when(full(x) & F.array_contains(F.col("_gone"), acc["n"]), acc["kept"]).otherwise(
             F.concat(acc["kept"], F.array(x))).alias("kept"))
     cleaned = F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(F.aggregate(_lines(text), start, step)["kept"], "\n"))
-    n_lines = let(_lines(text), lambda lines: F.size(F.filter(lines, full)))
     shown = [cleaned.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns]
-    return joined.select(*shown, F.struct(n_lines.alias("n_lines"),
+    return joined.select(*shown, F.struct(F.coalesce("_n", F.lit(0)).alias("n_lines"),
                                           F.coalesce(F.size("_gone"), F.lit(0)).alias("n_deleted")).alias("dedup"))
