@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,7 +47,12 @@ SEGMENTS_PER_FILE = 8
 END_ID = 2
 #: Words whose ids a worker remembers; it starts over when there are more.
 REMEMBERED = 1_200_000
-_DOUBLE_SPACE = re.compile(r"\s\s|^\s|\s$")
+#: New stretches that are encoded in one line.
+JOINED = 1024
+#: A character that marks where texts are cut; those that hold it go another way.
+CUT = "\x01"
+ASCII_SPACES = "\t\v\f\r\x1c\x1d\x1e\x1f"
+_OTHER_SPACE = re.compile(r"[^\S \n]")
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -155,8 +161,9 @@ def segments(data: bytes) -> Iterator[tuple[int, int, list[int | None], np.ndarr
 class Encoder:
     """Token ids of whole texts as little-endian 32-bit words, by a tokenizer file of the tokenizers library.
 
-    For byte-level tokenizers, whose pieces never go on past a single space or line break between other characters: the
-    library encodes every such stretch once, and it is then looked up. Other tokenizers get whole texts
+    For byte-level tokenizers, whose pieces never go on past a single space or line break between other characters: every
+    such stretch, with the space or break before it, is encoded once and then looked up. A batch is cut into stretches
+    and numbered by Arrow, so that Python sees each different stretch of a batch once. Other tokenizers get whole texts
     (``by_word=False``).
     """
 
@@ -165,38 +172,73 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.by_word, self.remembered = by_word, remembered
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
-
-    def _runs(self, text: str) -> list[list[str]]:
-        """The lines of a text as stretches; all in one line where white space is not single."""
-        if not self.by_word:
-            return [[text]]
-        if _DOUBLE_SPACE.search(text):
-            return [_INNER_SPACE.split(text)]
-        return [line.split(" ") for line in text.split("\n")]
+        self.known: dict[str, bytes] = {}
+        self.line_break = np.array(self._encode(["\n"])[0], "<u4")
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_joined(self, words: list[str], before: bytes) -> None:
+        """Remembers the ids of stretches without line breaks, which are encoded in long lines and cut at the breaks."""
+        chunks = [words[k:k + JOINED] for k in range(0, len(words), JOINED)]
+        for chunk, ids in zip(chunks, self._encode(["\n".join(c) for c in chunks])):
+            ids = np.array(ids, "<u4")
+            cuts = np.flatnonzero(ids == self.line_break[0]) if len(self.line_break) == 1 else ids[:0]
+            mark = "\n" if before else ""
+            if len(cuts) == len(chunk) - 1:
+                raw, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
+                starts = [0, *(e + 4 for e in ends[:-1])]
+                self.known.update((mark + w, before + raw[i:j]) for w, i, j in zip(chunk, starts, ends))
+            else:
+                self.known.update((mark + w, before + np.array(x, "<u4").tobytes()) for w, x in zip(chunk, self._encode(chunk)))
+
+    def _learn(self, new: list[str]) -> None:
+        self._learn_joined([w for w in new if w[:1] != "\n"], b"")
+        self._learn_joined([w[1:] for w in new if w[:1] == "\n"], self.line_break.tobytes())
+
+    def _ids(self, stretches: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many each stretch has)."""
+        coded = stretches.dictionary_encode()
+        each = coded.dictionary.to_pylist()
+        if len(self.known) > self.remembered:
+            self.known.clear()
+        self._learn([w for w in each if w not in self.known])
+        found = [self.known[w] for w in each]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat, firsts = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
+        codes = coded.indices.to_numpy()
+        counts = sizes[codes]
+        ends = np.cumsum(counts)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(firsts[codes] - (ends - counts), counts)
+        return flat[at], counts
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.first) + len(self.later) > self.remembered:
-            self.first.clear()
-            self.later.clear()
-        runs = [self._runs(t) for t in texts]
-        first = {r[0] for rs in runs for r in rs} - self.first.keys()
-        later: set[str] = set()
-        for rs in runs:
-            for r in rs:
-                later.update(r[1:])
-        later -= self.later.keys()
-        for known, new, before in ((self.first, first, ""), (self.later, later, " ")):
-            new = list(new)
-            known.update(zip(new, self._encode([before + x for x in new])))
-        line_break = self._encode(["\n"])[0]
-        first_of, later_of = self.first.__getitem__, self.later.__getitem__
-        return [line_break.join(b"".join((first_of(r[0]), *map(later_of, r[1:]))) for r in rs) for rs in runs]
+        plain = [self.by_word and _single_spaces(t) for t in texts]
+        result = [b""] * len(texts)
+        odd = [k for k, p in enumerate(plain) if not p and texts[k]]
+        whole = [_INNER_SPACE.split(texts[k]) if self.by_word else [texts[k]] for k in odd]
+        flat = self._encode([w if not i else " " + w for ws in whole for i, w in enumerate(ws)])
+        at = 0
+        for k, ws in zip(odd, whole):
+            result[k] = np.array([x for ids in flat[at:at + len(ws)] for x in ids], "<u4").tobytes()
+            at += len(ws)
+        rows = [k for k, p in enumerate(plain) if p]
+        if rows:
+            marked = [texts[k].replace(" ", CUT + " ").replace("\n", CUT + "\n") for k in rows]
+            parts = pc.split_pattern(pa.array(marked, pa.large_string()), CUT)
+            ids, counts = self._ids(parts.flatten())
+            ends = np.concatenate(([0], np.cumsum(counts)))[parts.offsets.to_numpy()].tolist()
+            raw = memoryview(ids.astype("<u4").tobytes())
+            for k, i, j in zip(rows, ends[:-1], ends[1:]):
+                result[k] = bytes(raw[4 * i:4 * j])
+        return result
+
+
+def _single_spaces(text: str) -> bool:
+    """Whether all white space is single spaces and line breaks between other characters, and :data:`CUT` is free."""
+    if not text or text[0].isspace() or text[-1].isspace() or any(x in text for x in ("  ", "\n\n", " \n", "\n ", CUT)):
+        return False
+    return not (any(x in text for x in ASCII_SPACES) if text.isascii() else _OTHER_SPACE.search(text))
 
 
 @functools.lru_cache(1)
