@@ -139,7 +139,11 @@ def balance_payload(spark, d):
     return events.balance_payload(views.accounts(spark, d))
 
 
-@query("event_envelope")
+@query("event_envelope", """
+SELECT 'aml-events' AS topic, CAST(id AS VARCHAR) AS key, '{"event":"balance","data":{"user_id":' || id || coalesce(',"username":' || to_json(username), '')
+  || coalesce(',"account_number":' || to_json(account_number), '') || ',"balance":' || CAST(b AS VARCHAR)
+  || coalesce(',"kyc_status":' || to_json(kyc_status), '') || '},"publisher":"moneytrail"}' AS value
+FROM (SELECT *, CAST(coalesce(balance, 0) AS DOUBLE) AS b FROM accounts)""", "accounts")
 def event_envelope(spark, d):
     return events.envelope(events.balance_payload(views.accounts(spark, d)), "balance", F.col("user_id"))
 
