@@ -1,5 +1,7 @@
 """Session settings the jobs are written for."""
 
+import tempfile
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +31,23 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | No
     return spark.conf.get("spark.checkpoint.dir", None) or fallback
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share.  Only a local session may name none."""
+    folder = checkpoint_dir(spark) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="moneytrail-")
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of any file system Spark can reach."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stable(df: DataFrame) -> DataFrame:
     """Rows an iterative job reads many times: checkpointed in the shared folder if the session names one, so that
     neither a lost executor nor a long lineage repeats the work; otherwise cached."""
