@@ -171,7 +171,7 @@ def bootstrap_labels(spark, d):
 @query("train_predict")
 def train_predict(spark, d):
     rows = learning.training_set(labelled(spark, d), FEATURES_25)
-    model = learning.train_classifier(rows, FEATURES_25, trees=40, depth=8)
+    model = learning.train_classifier(rows, FEATURES_25)
     return learning.best_class(learning.predict_proba(model, rows), learning.classes_of(model))
 
 
@@ -207,5 +207,5 @@ def oversample(spark, d):
 @query("attribution")
 def attribution(spark, d):
     rows = learning.training_set(labelled(spark, d), FEATURES_25)
-    model = learning.train_classifier(rows, FEATURES_25, trees=10, depth=5)
+    model = learning.train_classifier(rows, FEATURES_25)
     return explain.attribute(rows, model, FEATURES_25, "super_suspicious")

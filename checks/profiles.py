@@ -1,11 +1,15 @@
 """Behavioural profiles, window statistics over the newest history, anomaly and behavioural risk."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.registry import define, query
 from moneytrail.operators import anomaly, features, ledger, profiles, windows
 from moneytrail.plans.hot import find_hot_accounts, find_hot_keys
+from moneytrail.session import shared_folder
 from moneytrail.sources import tables, views
+from moneytrail.sources.profile_store import ProfileStore
 import checks.features  # noqa: F401
 import checks.ledgers  # noqa: F401
 
@@ -201,6 +205,17 @@ def profile_latest_version(spark, d):
     return tables.latest_profiles(both).where(F.col("as_of_us") == AS_OF_US).select("account", "total_transactions")
 
 
+@query("profile_store", """
+SELECT account, n AS total_transactions FROM profile_scalars""", "profile_scalars")
+def profile_store(spark, d):
+    """An older version, the current one, and a late copy of the older, gathered twice on the way."""
+    old = profiles.build_profiles(base(spark, d), AS_OF_US - 6 * 3600 * 1_000_000)
+    store = ProfileStore(spark, f"{shared_folder(spark)}/profiles-{uuid.uuid4().hex}", keep=2)
+    for version in (old, built(spark, d), old):
+        store.save(version)
+    return store.load().where(F.col("as_of_us") == AS_OF_US).select("account", "total_transactions")
+
+
 @query("income_cycle", """
 WITH b AS (SELECT account, ts, id, sum(signed) OVER (PARTITION BY account ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) * 100 AS bal FROM order_ledger),
 r AS (SELECT *, row_number() OVER (PARTITION BY account ORDER BY ts, id) AS seq, count(*) OVER (PARTITION BY account) AS n, lag(bal) OVER (PARTITION BY account ORDER BY ts, id) AS last

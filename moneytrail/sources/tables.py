@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from moneytrail.sources.profile_store import ProfileStore
 from moneytrail.sources.schema import DEFAULTS, TABLES, conform_schema
 
 
@@ -41,13 +42,14 @@ def read_watchlist(spark: SparkSession, path: str | None = None, format: str = "
     return read_table(spark, "watchlist", path, format, **options)
 
 
-def save_profiles(profiles: DataFrame, path: str) -> None:
-    """Append a profile version; readers take the latest per account."""
-    profiles.write.mode("append").parquet(path)
+def save_profiles(profiles: DataFrame, path: str, number: int | None = None) -> int:
+    """Add a profile version to the store under ``path``; see :class:`ProfileStore`."""
+    return ProfileStore(profiles.sparkSession, path).save(profiles, number)
 
 
 def load_profiles(spark: SparkSession, path: str) -> DataFrame:
-    return latest_profiles(spark.read.parquet(path))
+    """The latest profile of every account."""
+    return ProfileStore(spark, path).load()
 
 
 def latest_profiles(versions: DataFrame, key: str = "account", version: str = "as_of_us") -> DataFrame:
