@@ -290,7 +290,25 @@ def behavioral_risk(spark, d):
     return out.select("id", "behavioral_score", "behavioral_level")
 
 
-@query("anomaly_reasons")
+def _dollars(x: str) -> str:
+    return f"'$' || format('{{:,.2f}}', CAST({x} AS DOUBLE))"
+
+
+@query("anomaly_reasons", f"""
+WITH c AS (SELECT account, string_agg(value, ', ' ORDER BY rank) AS liked FROM profile_dist WHERE dim = 'channel' AND rank <= 3 GROUP BY 1)
+SELECT a.id, concat_ws('; ',
+    CASE WHEN amount_anomaly > 50 THEN 'Amount ' || {_dollars("s.amount")} || ' significantly deviates from normal range ('
+      || {_dollars("avg_amount")} || ' ± ' || {_dollars("std_amount")} || ')' END,
+    CASE WHEN frequency_anomaly > 50 THEN 'Transaction frequency unusual for this customer' END,
+    CASE WHEN timing_anomaly > 50 THEN 'Transaction at ' || strftime(s.ts, '%H') || ':00 outside normal activity hours' END,
+    CASE WHEN channel_anomaly > 50 THEN 'Unusual channel ''' || s.channel || ''' for this customer' END,
+    CASE WHEN recipient_anomaly > 50 THEN 'New or unusual recipient' END,
+    CASE WHEN geographic_anomaly > 50 THEN 'Unusual destination country ''' || s.destination_country || '''' END,
+    CASE WHEN pattern_anomaly > 50 THEN 'Transaction pattern suggests layering or structuring' END) AS reasons,
+  'Customer typically transacts ' || {_dollars("avg_amount")} || ' on average, prefers ' || coalesce(liked, '') || ' channels, and has '
+    || p.n || ' historical transactions.' AS behavioral_context
+FROM anomaly_scores a JOIN sequence_profile s USING (id) JOIN profile_scalars p ON p.account = s.sender_account LEFT JOIN c ON c.account = s.sender_account""",
+       "anomaly_scores", "sequence_profile", "profile_scalars", "profile_dist")
 def anomaly_reasons(spark, d):
     out = anomaly.score_anomaly(sequenced(spark, d), built(spark, d))
     return out.select("id", F.array_join("anomaly_reasons", "; ").alias("reasons"), "behavioral_context")
