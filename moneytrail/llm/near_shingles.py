@@ -32,9 +32,9 @@ BITS = 64 * WORDS
 SLACK = 2.5
 #: Fixed odd multipliers that make further hashes of a shingle from its first.
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
-#: Counters that shingles are folded into, and one document in how many is counted, to put rare shingles first. The order
-#: decides how many pairs are checked, not which are found.
-COUNTERS, COUNTED = 1 << 18, 16
+#: Counters that shingles are folded into, to put rare shingles first. The order decides how many pairs are checked, not
+#: which are found.
+COUNTERS = 1 << 18
 #: Bytes of a shingle's hash that are compared: of two sets of n shingles, two different ones meet with a chance of n * n
 #: in 2**48.
 KEPT = 6
@@ -53,8 +53,8 @@ def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def frequencies(docs: DataFrame, id_col: str, text_col: str, shingle: int, seed: int) -> np.ndarray:
-    """The logarithm, as a byte per counter, of how many of the counted documents have a shingle that falls there."""
+def frequencies(docs: DataFrame, text_col: str, shingle: int, seed: int) -> np.ndarray:
+    """The logarithm, as a byte per counter, of how many shingles of documents fall there."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.int64)
         for batch in batches:
@@ -64,7 +64,7 @@ def frequencies(docs: DataFrame, id_col: str, text_col: str, shingle: int, seed:
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["at", "n"])
 
-    counted = docs.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(COUNTED)) == 0).select(F.col(text_col).cast("binary").alias("text"))
+    counted = docs.select(F.col(text_col).cast("binary").alias("text"))
     # at most a row per counter, however large the table
     found = counted.mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(COUNTERS, np.int64)
@@ -339,7 +339,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     module. Texts without words are alike, shorter ones than a shingle are one shingle. Rows with a null id take part but
     never name a component (null if there is no other); repeated ids give a row each, an empty table none.
     """
-    ranks = frequencies(docs, id_col, text_col, shingle, seed)
+    ranks = frequencies(docs, text_col, shingle, seed)
     rows = written(shingle_keys(docs, id_col, text_col, shingle, seed, similarity, ranks).withColumn(
         "node", F.xxhash64("key")).withColumn("row", F.monotonically_increasing_id()), "fingerprints")
     ids = written(rows.select("id", "node"), "ids")

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from moneytrail.llm.near_shingles import _KEY, candidate_links, radius_for, similar_documents, spanning_forest
+from moneytrail.llm.near_shingles import _KEY, candidate_links, frequencies, radius_for, similar_documents, spanning_forest
 
 
 def _sets(text, size=5):
@@ -83,3 +83,9 @@ def test_links_span_what_all_pairs_connect():
              and min(size[i], size[i + 1300]) >= 0.8 * max(size[i], size[i + 1300])]
     nodes, u, v = candidate_links(keys, None, radius_for(0.8), 0.8)
     assert len(u) == len(alike)
+
+
+def test_every_document_counts(spark):
+    """Counters hold the shingles of all documents."""
+    rows = spark.createDataFrame([(i, "one two three four five") for i in range(7)] + [(7, "six seven eight nine ten"), (None, None)], "doc_id long, text string")
+    assert sorted(x for x in frequencies(rows, "text", 5, 42) if x)[-2:] == [4, 12]
