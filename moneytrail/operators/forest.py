@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from moneytrail.operators.trees import level_steps
 from moneytrail.session import stable
 
 TREE_SCHEMA = "tree int, node int, feature int, split double, left int, right int, size int"
@@ -63,10 +64,10 @@ def fit_isolation_forest(df: DataFrame, columns: list[str], trees: int = 150, sa
     rate = min(1.0, 2.0 * sample / max(1, total))
     width = min(sample, total)
     bound = int(rate * (2 ** 31))
-    ids = df.select("id", F.expr(f"filter(transform(sequence(1, {trees}), t -> struct(t, "
-                                 f"pmod(xxhash64(id, t, {seed}), 2147483648L) AS h)), x -> x.h < {bound}L)")
-                    .alias("d"), F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
-    drawn = ids.select(F.explode("d").alias("d"), "x").select(F.col("d.t").alias("tree"), F.col("d.h").alias("h"), "x")
+    # rows times trees never leave the task: only the drawn ones get their values
+    h = F.pmod(F.xxhash64("id", "_tree", F.lit(seed)), F.lit(2 ** 31))
+    drawn = df.select("*", F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("_tree")).where(h < bound).select(
+        F.col("_tree").alias("tree"), h.alias("h"), F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
     limit = max(1, math.ceil(math.log2(max(2, width))))
 
     def grow(rows: pd.DataFrame) -> pd.DataFrame:
@@ -87,28 +88,28 @@ def score_isolation_forest(df: DataFrame, forest: list, columns: list[str], samp
     by_tree: dict[int, list] = {}
     for n in forest:
         by_tree.setdefault(n["tree"], []).append(n)
-    packed = []
+    packed, norm = [], 2
     for nodes in by_tree.values():
         nodes = sorted(nodes, key=lambda n: n["node"])
-        packed.append(tuple(np.array([n[k] for n in nodes]) for k in ("feature", "split", "left", "right", "size")))
-    norm = average_depth(min(sample, max((int(t[4][0]) for t in packed), default=2))) or 1.0
+        feature, split, left, right, size = (np.array([n[k] for n in nodes]) for k in ("feature", "split", "left", "right", "size"))
+        norm = max(norm, int(size[0])) if packed else int(size[0])
+        depth = np.zeros(len(nodes))
+        for i in np.flatnonzero(feature >= 0):  # a node comes before its children
+            depth[left[i]] = depth[right[i]] = depth[i] + 1
+        depth += [average_depth(s) for s in size]
+        packed.append((*level_steps(feature, split, left, right), depth))
+    norm = average_depth(min(sample, norm)) or 1.0
 
     def score(batches):
-        leaf_depth = [np.array([average_depth(s) for s in t[4]]) for t in packed]
         for batch in batches:
             x = batch[columns].to_numpy(dtype="float64")
+            first, flat = np.arange(len(x)) * x.shape[1], x.ravel()
             depth = np.zeros(len(x))
-            for (feature, split, left, right, _), extra in zip(packed, leaf_depth):
+            for feature, split, child, levels, depths in packed:
                 at = np.zeros(len(x), dtype=np.int64)
-                steps = np.zeros(len(x))
-                live = np.flatnonzero(feature[at] >= 0)
-                while len(live):
-                    node = at[live]
-                    go_left = x[live, feature[node]] <= split[node]
-                    at[live] = np.where(go_left, left[node], right[node])
-                    steps[live] += 1
-                    live = live[feature[at[live]] >= 0]
-                depth += steps + extra[at]
+                for _ in range(levels):
+                    at = child.take(2 * at + (flat.take(first + feature.take(at)) <= split.take(at)))
+                depth += depths.take(at)
             yield pd.DataFrame({"id": batch["id"], "raw_score": 2.0 ** (-depth / len(packed) / norm)})
 
     return df.select("id", *columns).mapInPandas(score, "id long, raw_score double")
@@ -119,6 +120,6 @@ def isolation_forest(df: DataFrame, columns: list[str], trees: int = 150, contam
     """``id`` and ``anomaly``: negative for about the ``contamination`` share of rows, lower is more unusual."""
     df = stable(df.select("id", *columns))
     nodes = fit_isolation_forest(df, columns, trees, seed=seed).collect()
-    scored = score_isolation_forest(df, nodes, columns)
+    scored = stable(score_isolation_forest(df, nodes, columns))  # read for the cut and for the answer; walked once
     cut = scored.agg(F.percentile_approx("raw_score", 1 - contamination, 10_000)).first()[0]
     return scored.select("id", (F.lit(cut) - F.col("raw_score")).alias("anomaly"))
