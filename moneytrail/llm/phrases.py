@@ -29,10 +29,11 @@ from moneytrail.llm.common import written
 MAX_WORDS = 5
 #: Bits of the bitmaps of frequent words and pairs.
 BITS = 2 ** 25
-#: Words that a task sorts together before it hands its counts on, bytes of a text that it takes apart at once.
-BLOCK_WORDS, BLOCK_BYTES = 2_000_000, 4_000_000
+#: Words that a task sorts together before it hands its counts on, bytes of a text that it takes apart at once. The arrays of
+#: a block take some 230 bytes a word, and a Python worker keeps what it once took.
+BLOCK_WORDS, BLOCK_BYTES = 700_000, 2_000_000
 #: Distinct suffixes that a task holds at about before it hands them on.
-HELD_ROWS = 1_000_000
+HELD_ROWS = 400_000
 #: Suffixes of a range at about.
 RANGE_ROWS = 1_000_000
 #: Buckets of phrases that are ranked before their language is.
@@ -248,28 +249,32 @@ def _runs(texts: DataFrame, known: list[np.ndarray]) -> DataFrame:
     return texts.mapInArrow(count, "h long, n long")
 
 
+def _suffix_blocks(batches: Iterator[pa.RecordBatch], known: list[np.ndarray], bounds: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """The suffixes of each block with their number, equal ones as one row."""
+    for names, numbers, starts in _blocks(batches, MAX_WORDS - 1, *bounds):
+        alive = _alive(numbers, names, known)[1]
+        triples = np.concatenate([alive[2], np.zeros(MAX_WORDS, bool)])
+        begin = np.where(alive[1][:starts])[0]
+        keys, on = np.zeros((len(begin), MAX_WORDS), np.int32), np.ones(len(begin), bool)
+        padded = np.concatenate([numbers, np.zeros(MAX_WORDS, np.int64)])
+        for d in range(MAX_WORDS):
+            if d > 1:
+                on = on & triples[begin + d - 2]
+            keys[:, d] = np.where(on, padded[begin + d], 0)
+        at, n = multikey_sort(keys, np.ones(len(keys), np.int64), 1, False)[1]
+        if len(at):
+            yield _table(names, [keys[at, d].astype(np.int64) for d in range(MAX_WORDS)], n)
+
+
 def _suffixes(texts: DataFrame, known: list[np.ndarray]) -> DataFrame:
-    """Suffixes of two words or more with their number in each block, cut where a pair or triple is not known."""
+    """Suffixes of two words or more with their number in each task, cut where a pair or triple is not known."""
     bounds, held = (BLOCK_WORDS, BLOCK_BYTES), HELD_ROWS
     shared = [texts.sparkSession.sparkContext.broadcast(b) for b in known]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for names, numbers, starts in _blocks(batches, MAX_WORDS - 1, *bounds):
-            _, alive = _alive(numbers, names, [b.value for b in shared])
-            triples = np.concatenate([alive[2], np.zeros(MAX_WORDS, bool)])
-            begin = np.where(alive[1][:starts])[0]
-            keys, on = np.zeros((len(begin), MAX_WORDS), np.int32), np.ones(len(begin), bool)
-            padded = np.concatenate([numbers, np.zeros(MAX_WORDS, np.int64)])
-            for d in range(MAX_WORDS):
-                if d > 1:
-                    on = on & triples[begin + d - 2]
-                keys[:, d] = np.where(on, padded[begin + d], 0)
-            # equal suffixes of a block become one row
-            at, n = multikey_sort(keys, np.ones(len(keys), np.int64), 1, False)[1]
-            if len(at):
-                yield _table(names, [keys[at, d].astype(np.int64) for d in range(MAX_WORDS)], n)
+        return _added_up(_suffix_blocks(batches, [b.value for b in shared], bounds), held)
 
-    return texts.mapInArrow(lambda batches: _added_up(count(batches), held), _schema(MAX_WORDS))
+    return texts.mapInArrow(count, _schema(MAX_WORDS))
 
 
 def _added_up(blocks: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:

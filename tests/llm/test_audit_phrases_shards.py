@@ -3,12 +3,14 @@
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
 from math import factorial
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,6 +145,28 @@ def test_phrases_of_random_texts(spark, monkeypatch):
     assert got == plain_phrases([d[1:] for d in docs], 5, 7, 60)
 
 
+def test_blocks_of_suffixes_are_bounded(monkeypatch):
+    """A task over 2.5 million words holds the arrays of one block at a time; two tasks share an executor of 3 GB with the JVM."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 300, 5_000)) for _ in range(500)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(["en"] * 50), pa.array(texts[i:i + 50])], names=["lang", "text"]) for i in range(0, 500, 50)]
+    known = [np.full(phrases.BITS // 8, 255, np.uint8)] * 3
+
+    class Frame:
+        """Runs what ``mapInArrow`` is given here."""
+        sparkSession = property(lambda self: self)
+        sparkContext = property(lambda self: self)
+        broadcast = staticmethod(lambda value: type("Shared", (), {"value": value}))
+        mapInArrow = staticmethod(lambda run, schema: run(iter(batches)))
+
+    monkeypatch.setattr(phrases, "_added_up", lambda blocks, most: blocks)
+    tracemalloc.start()
+    total = sum(b.column("n").to_numpy().sum() for b in phrases._suffixes(Frame(), known))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total == 500 * 4_999 and peak < 250e6
+
+
 def test_phrases_of_odd_rows(spark):
     docs = odd_rows(spark)
     got = sorted(tuple(x) for x in phrases.collocations(docs, least=2).collect())
