@@ -1,6 +1,7 @@
 """History scans: hot keys, causality, partition counts, plan shape, medians."""
 
 import os
+import re
 import statistics
 from collections import defaultdict
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from moneytrail.constants import HOUR_US
 from moneytrail.operators import features, history, ledger, medians, rules, windows
 from moneytrail.plans.hot import HotKeys, find_hot_keys
+from moneytrail.plans.scan import Measure, prior
 from moneytrail.sources import views
 
 
@@ -155,3 +157,29 @@ def test_newest_rows_of_hot_accounts(spark, tiny):
         plain = windows.latest_per_account(book, n)
         same(plain, windows.latest_per_account(book, n, HotKeys(accounts[::2])))
         same(plain, windows.latest_per_account(book, n, HotKeys(accounts), parts=5))
+
+
+def leave_events(df):
+    """The most leave events that a scan of the plan makes of a row."""
+    return max(int(n) for n in re.findall(r"sequence\(0, (\d+)", df._jdf.queryExecution().analyzed().toString()))
+
+
+def test_rows_leave_only_for_windows_that_are_read(spark, tiny):
+    tx = views.transactions(spark, tiny)
+    # a day, ten minutes, the end of the day; three spans and two of recipients
+    assert leave_events(features.features_25(tx)) == 3
+    assert leave_events(features.features_82(tx, views.accounts(spark, tiny), 0)) == 5
+
+
+@pytest.mark.parametrize("hot", [HotKeys(), HotKeys(("a",), 10)])
+def test_measures_that_expire_together_share_one_leave_event(spark, hot):
+    rows = spark.createDataFrame([(1, "a", 0, 5, 3), (2, "a", 2, 9, 5), (3, "a", 3, None, 7), (4, "a", 6, 30, None), (5, "a", 20, 30, 1),
+                                  (6, "b", 20, 30, 1), (7, None, 1, 4, 2), (8, None, 3, 4, 2)],
+                                 "id long, k string, ts_us long, ends long, v long")
+    one, ends = F.lit(1).cast("long"), F.col("ends")
+    seen = prior(rows, "k", [Measure("n", one, expires=ends), Measure("total", F.col("v"), expires=ends)], hot=hot)
+    apart = prior(rows, "k", [Measure("n", one, expires=F.col("ends")), Measure("total", F.col("v"), expires=F.col("ends") + 0)], hot=hot)
+    want = {1: (0, 0), 2: (1, 3), 3: (2, 8), 4: (2, 12), 5: (2, 7), 6: (0, 0), 7: (0, 0), 8: (1, 2)}
+    assert leave_events(seen) == 1 and leave_events(apart) == 2
+    for df in (seen, apart):
+        assert {r["id"]: (r["n"], r["total"]) for r in df.collect()} == want
