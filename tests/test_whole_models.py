@@ -35,6 +35,18 @@ def test_retrain_fits_and_cross_validates_whole_forests(spark, ten_rows, monkeyp
     assert all({k: a[k] for k in FOREST} == FOREST for _, a in fits)
 
 
+def test_train_ensemble_fits_its_whole_members(spark, ten_rows, monkeypatch):
+    fits, fn = [], learning.train_ensemble
+
+    def fake(*args, **named):
+        fits.append(arguments(fn, args, named))
+        raise InterruptedError
+    monkeypatch.setattr(learning, "train_ensemble", fake)
+    with pytest.raises(InterruptedError):
+        registered.train_ensemble(spark, "")
+    assert {k: fits[0][k] for k in (*FOREST, "rounds")} == {**FOREST, "rounds": 50}
+
+
 def test_retrain_defaults_are_those_of_the_classifier():
     whole = inspect.signature(learning.train_classifier).parameters
     assert {k: p.default for k, p in inspect.signature(feedback.retrain).parameters.items() if k in FOREST} == {
